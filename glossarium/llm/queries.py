@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, pieces, urls
+from . import embeddings, lines, media, minhash, mixing, pieces, toxicity, urls
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lines": lines.op3_lines,
+    "op4_minhash": minhash.op4_minhash,
     "op5_pieces": pieces.op5_pieces,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
 }
 
