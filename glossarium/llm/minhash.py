@@ -72,7 +72,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     left = n_words[doc] - (np.arange(len(h)) - first[doc])  # words from here to the end of the document
     for k in range(words):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:] if k else h
+        part[: max(0, len(h) - k)] = h[k:]
         part[left <= k] = 0
         s = s * np.uint64(0x100000001B3) + part
     keep = (left >= words) | ((n_words[doc] < words) & (left == n_words[doc]))
