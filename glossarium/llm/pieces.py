@@ -15,7 +15,7 @@ from .common import doc_text, ship, slices, table
 
 MARK = "▁"
 #: Distinct segments that a worker keeps encoded; when full, the cache starts anew.
-CACHE = 200_000
+CACHE = 300_000
 
 
 class CharMap:
@@ -71,11 +71,11 @@ class Normalizer:
             return b"", np.zeros(1, np.int64)
         if self.plain:
             raw = np.frombuffer(data, np.uint8)
-            origin = np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1))
+            origin = np.repeat(np.arange(len(raw), dtype=np.int32), np.where(raw == 32, 3, 1))
             text = data.replace(b" ", self.space)
             if self.dummy_prefix:
-                text, origin = self.space + text, np.concatenate([np.zeros(3, np.int64), origin])
-            return text, np.append(origin, len(data))
+                text, origin = self.space + text, np.concatenate([np.zeros(3, np.int32), origin])
+            return text, np.append(origin, np.int32(len(data)))
         return self._mapped(data)
 
     def _chunk(self, data: bytes, at: int) -> tuple[int, bytes]:
@@ -121,12 +121,28 @@ class Normalizer:
         return bytes(out), np.array([*origin, end])
 
 
+class _Segments(dict):
+    """Segment to its ids as bytes, encoded when first asked for."""
+
+    def __init__(self, processor):
+        super().__init__()
+        self.encode = processor.encode
+
+    def __missing__(self, segment: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self.encode(segment)
+        got = self[segment] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+
 class Encoder:
     """Encodes whole texts as the library does, a cached segment at a time.
 
-    The model's merges never join a mark for a space to a character before it when no piece holds such a pair
-    (checked here), so text cut before each run of marks is encoded segment by segment with the same ids;
-    otherwise the whole text is one segment.
+    The model's merges never join a mark for a space to a character before it when no piece holds such a pair, nor
+    anything to a newline when no piece holds one beside another character (both checked here). So text cut before
+    each run of marks and around newlines is encoded segment by segment with the same ids; else the whole text is one
+    segment.
     """
 
     def __init__(self, model_path: str):
@@ -152,36 +168,34 @@ class Encoder:
         bare.normalizer_spec.remove_extra_whitespaces = False
         bare.normalizer_spec.escape_whitespaces = False
         self.bare = spm.SentencePieceProcessor(model_proto=bare.SerializeToString())
-        self.lengths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.uint32)
+        self.lengths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int32)
         crosses = re.compile(f"[^{MARK}]{MARK}")
         whole = model.trainer_spec.model_type != 2 or any(crosses.search(p.piece) for p in model.pieces)
-        self.cut = re.compile("(?s).+" if whole else f"(?s){MARK}*[^{MARK}]+|{MARK}+")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-
-    def _new(self, segment: str) -> tuple[bytes, bytes]:
-        ids = np.array(self.bare.encode(segment), np.uint32)
-        if (ids == self.unk).any():
-            pieces = self.bare.encode(segment, out_type="immutable_proto").pieces
-            sizes = np.array([len(p.surface.encode()) for p in pieces], np.uint32)
-        else:
-            sizes = self.lengths[ids]
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        got = self.cache[segment] = (ids.astype("<u4").tobytes(), sizes.astype("<u4").tobytes())
-        return got
+        lone = "" if any("\n" in p.piece and len(p.piece) > 1 for p in model.pieces) else "\n"
+        self.cut = re.compile("(?s).+" if whole else f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + f"|{lone}+" * bool(lone))
+        self.cache = _Segments(self.bare)
+
+    def _sizes(self, ids: np.ndarray, segments: list[str]) -> np.ndarray:
+        """Bytes of normalised text that each id stands for."""
+        if not (ids == self.unk).any():
+            return self.lengths[ids]
+        pieces = [p for s in segments for p in self.bare.encode(s, out_type="immutable_proto").pieces]
+        return np.array([1 if self.bare.is_byte(p.id) else len(p.surface.encode()) for p in pieces], np.int32)
 
     def encode(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """ids with begin and end, as little-endian uint32 bytes, and each id's (start, end) bytes in ``data``."""
         text, origin = self.normalize(data)
-        cache, new = self.cache, self._new
-        got = [cache.get(s) or new(s) for s in self.cut.findall(text.decode())]
-        edges = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join([x[1] for x in got]), "<u4"), dtype=np.int64)])
+        segments = self.cut.findall(text.decode())
+        ids = b"".join(map(self.cache.__getitem__, segments))
+        sizes = self._sizes(np.frombuffer(ids, "<u4"), segments)
+        edges = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=edges[1:])
         at = origin[edges]
         spans = np.zeros((len(edges) + 1, 2), "<i4")
         spans[1:-1, 0], spans[1:-1, 1] = at[:-1], at[1:]
         spans[-1] = len(data)
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
-        return begin + b"".join([x[0] for x in got]) + end, spans
+        return begin + ids + end, spans
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
