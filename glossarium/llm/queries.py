@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, lines, media, minhash, mixing, pieces, toxicity, urls
+from . import embeddings, language_model, lines, media, minhash, mixing, pieces, toxicity, urls
 
 QUERIES = {
+    "op1_language_model": language_model.op1_language_model,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_lines": lines.op3_lines,
     "op4_minhash": minhash.op4_minhash,
