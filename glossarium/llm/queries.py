@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_model, lines, media, minhash, mixing, pieces, toxicity, urls
+from . import embeddings, language_model, lines, media, minhash, mixing, pieces, substrings, toxicity, urls
 
 QUERIES = {
     "op1_language_model": language_model.op1_language_model,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash": minhash.op4_minhash,
     "op5_pieces": pieces.op5_pieces,
     "op6_embeddings": embeddings.op6_embeddings,
+    "op7_substrings": substrings.op7_substrings,
     "op8_url_filter": urls.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
