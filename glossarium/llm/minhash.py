@@ -16,12 +16,14 @@ from .common import doc_text, ship, slices, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Signature coordinates = BANDS * ROWS. At similarity 0.8 a pair shares no band with probability 2e-5.
-BANDS, ROWS = 28, 5
-#: Rows of a block when what a bucket has left is compared; agreement of two signatures from which a pair is
-#: verified there (0.8 less 5 standard deviations).
-BLOCK = 512
-AGREEMENT = 0.63
+#: Signature coordinates = BANDS * ROWS. At similarity 0.8 a pair shares no band with probability 3e-5.
+BANDS, ROWS = 20, 4
+#: Rows of a block when what a bucket has left is compared, and rows of all cells that one call handles, about;
+#: agreement of two signatures from which a pair is verified there (0.8 less 3.5 standard deviations).
+BLOCK, CALL = 512, 4096
+AGREEMENT = 0.64
+#: Rounds in which a row offers only its best partner of another component, before the last one offers all.
+BEST_ROUNDS = 2
 
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse mod 2**64
@@ -193,34 +195,59 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             h = mix(h ^ sig[:, :, r].astype(np.uint64))
         ids = np.repeat(np.asarray(batch.column("doc_id")), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.reshape(-1).view(np.int64))], names=["doc_id", "bucket"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band), pa.array(h.reshape(-1).view(np.int64))], names=["doc_id", "band", "bucket"])
 
 
 def _left_over(best_only: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks of a bucket, of different components, whose signatures agree enough; with
-        ``best_only`` just the best for each row and component."""
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if not len(x) or not len(y):
-            return none
-        sx, sy = (np.frombuffer(b"".join(s.sig), np.uint32).reshape(len(s), -1) for s in (x, y))
-        same = np.zeros((len(x), len(y)), np.int32)
-        for k in range(sx.shape[1]):
-            same += sx[:, k, None] == sy[None, :, k]
-        same[x.component.to_numpy()[:, None] == y.component.to_numpy()[None, :]] = -1
-        i, j = np.nonzero(same >= AGREEMENT * sx.shape[1])
-        got = pd.DataFrame({"a": x.doc_id.to_numpy()[i], "b": y.doc_id.to_numpy()[j], "n": same[i, j], "c": y.component.to_numpy()[j]})
-        if best_only and len(got):
-            got = got.sort_values(["a", "c", "n", "b"], ascending=[True, True, False, True]).drop_duplicates(["a", "c"])
-        return pd.DataFrame({"a": np.minimum(got.a, got.b), "b": np.maximum(got.a, got.b)}).astype("int64") if len(got) else none
+        """Pairs of the two sides of each cell (two blocks of a bucket), of different components, whose signatures agree
+        enough; with ``best_only`` just the best of each row. A pair counts in the first bucket it shares only."""
+        pdf = pdf.sort_values(["cell", "side"], kind="stable")
+        cell, side, ids, part = (pdf[c].to_numpy() for c in ("cell", "side", "doc_id", "component"))
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), BANDS * ROWS)
+        band = pdf.band.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        found: list[np.ndarray] = []
+        for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            x, y = (lo, mid), (mid, hi)
+            if x[0] == x[1]:
+                x = y  # a block against itself comes once
+            if y[0] == y[1]:
+                y = x
+            if hi - lo < 2:
+                continue
+            sx, sy = sig[x[0] : x[1]], sig[y[0] : y[1]]
+            apart = part[x[0] : x[1], None] != part[None, y[0] : y[1]]
+            if hi - lo <= 48:
+                same = (sx[:, None, :] == sy[None, :, :]).sum(2)
+            else:
+                same = np.zeros(apart.shape, np.int16)
+                for k in range(BANDS * ROWS):
+                    same += sx[:, k, None] == sy[None, :, k]
+            i, j = np.nonzero(apart & (same >= AGREEMENT * BANDS * ROWS))
+            if not len(i):
+                continue
+            equal = (sx[i] == sy[j]).reshape(-1, BANDS, ROWS).all(2)
+            once = equal.argmax(1) == band[lo]
+            if not best_only:
+                i, j = i[once], j[once]
+            a, b, n = ids[x[0] + i], ids[y[0] + j], same[i, j]
+            if best_only and len(a):
+                order = np.lexsort((b, -n, a))
+                a, b = a[order], b[order]
+                top = np.concatenate([[True], a[1:] != a[:-1]])
+                a, b = a[top], b[top]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]}).drop_duplicates().astype("int64")
 
     return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets of shingles have a Jaccard similarity of the threshold or more."""
-    pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = stored(doc_text(docs).join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -245,22 +272,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = signed.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
     ids = stored(signed.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).select("doc_id", "rep").distinct(), "reps")
     reps = signed.join(ids.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig")
-    spread = reps.mapInArrow(_bands, "doc_id long, bucket long")
+    spread = reps.mapInArrow(_bands, "doc_id long, band int, bucket long")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id"))["doc_id"].alias("leader"))
     buckets = stored(spread.join(shared.where("size > 1"), "bucket"), "buckets")
     stars = buckets.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    stars = stored(stars, "stars")
     links = _verified(stars, docs, threshold)
-    for best_only in (True, False):
+    tested = stars
+    for best_only in (True,) * BEST_ROUNDS + (False,):
         parts = stored(components(links), "parts")
-        member = buckets.select("bucket", "doc_id").join(parts, buckets.doc_id == parts.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        member = buckets.select("bucket", "band", "doc_id").join(parts, buckets.doc_id == parts.node, "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         rest = member.join(mixed.where("lo < hi").select("bucket", "blocks"), "bucket").join(reps, "doc_id")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
-        columns = ("doc_id", "component", "sig")
+        columns = ("band", "doc_id", "component", "sig")
         x = rest.select("bucket", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
-        y = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns)
-        left = x.unionByName(y).groupBy("bucket", "i", "j").applyInPandas(_left_over(best_only), "a long, b long").distinct()
-        links = links.unionByName(_verified(left.join(links, ["a", "b"], "left_anti"), docs, threshold))
+        y = rest.where("block > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *columns)
+        cells = x.unionByName(y).withColumn("cell", F.xxhash64("bucket", "i", "j")).drop("bucket", "i", "j")
+        calls = max(1, int((mixed.where("lo < hi").agg(F.sum(F.col("blocks") * BLOCK).cast("long")).first()[0] or 0) // CALL))
+        found = cells.groupBy(F.pmod("cell", F.lit(calls)).alias("call")).applyInPandas(_left_over(best_only), "a long, b long").distinct()
+        fresh = stored(found.join(tested, ["a", "b"], "left_anti"), "fresh")
+        links = links.unionByName(_verified(fresh, docs, threshold))
+        tested = tested.unionByName(fresh)
     parts = components(links)
     of_rep = ids.join(parts, ids.rep == parts.node, "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     out = docs.select("doc_id").join(of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left")
