@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, stored, table
@@ -12,12 +12,13 @@ from .common import doc_text, stored, table
 THRESHOLD = 0.8
 #: Buckets of token counts; a token's rarity is the count of its bucket. Any order of tokens gives the same result,
 #: a better one fewer candidates.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 
 
 def _hashes(line: Column) -> Column:
-    """Hashes of a line's tokens: runs without white space, lower-cased."""
-    return F.transform(F.filter(F.split(F.lower(line), r"[\s]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
+    """Hashes of a line's tokens: lower-cased runs between spaces."""
+    hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -27,8 +28,9 @@ def _needed(n: Column, threshold: float) -> Column:
 def rarity_levels(docs: DataFrame) -> Column:
     """Number of bits of the count of each bucket of token hashes over all lines, as a literal array: its size is
     fixed, whatever the corpus."""
-    tokens = doc_text(docs).select(F.explode(_hashes(F.col("text"))).alias("token"))
-    counts = tokens.groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("k")).count()
+    words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")
+    tokens = doc_text(docs).select(F.explode(words).alias("token"))
+    counts = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("k")).count()
     levels = [0] * BUCKETS
     for r in counts.collect():
         levels[r["k"]] = int(r["count"]).bit_length()
@@ -38,7 +40,7 @@ def rarity_levels(docs: DataFrame) -> Column:
 def _ordered(line: Column, levels: Column) -> Column:
     """A line's distinct tokens, the rarest first: level in the upper 8 bits, hash below."""
     key = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), key)))
+    return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -47,23 +49,27 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each distinct set of tokens: where it comes first (doc_id, line_no), its size and its prefix."""
-    lines = numbered_lines(docs).select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
-    lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t").where("n > 0")
+    lines = numbered_lines(docs).where(F.rlike("line", F.lit(r"\S")))
+    lines = lines.select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
+    lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t")
     prefix = F.slice("t", F.lit(1), F.col("n") - _needed(F.col("n"), threshold) + 1)
     keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"))
     return keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"))
 
 
+def _fits(na: Column, pa: Column, nb: Column, pb: Column, threshold: float) -> Column:
+    """The length and positional filters of two prefixes that share the tokens at places pa and pb."""
+    overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    shared_at_most = F.least(na - pa, nb - pb) + F.least(pa, pb)
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (shared_at_most >= overlap)
+
+
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of rows that share a prefix token, b first seen after a, past the length and positional filters."""
+    """(a, b) of rows that share a prefix token, b first seen after a, past the filters."""
     a, b = left.alias("a"), right.alias("b")
     both = a.join(b, F.col("a.token") == F.col("b.token"))
-    na, nb = F.col("a.n"), F.col("b.n")
-    overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    ahead = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))  # tokens from this one on, at most shared
-    before = F.least(F.col("a.pos"), F.col("b.pos"))
-    fits = (F.col("a.at") < F.col("b.at")) & (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (ahead + before >= overlap)
-    return both.where(fits).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+    fits = _fits(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), threshold)
+    return both.where((F.col("a.at") < F.col("b.at")) & fits).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -83,9 +89,9 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left.
 
-    Lines are cut at newlines; a line's set is its distinct tokens (runs without white space, lower-cased). A line
+    Lines are cut at newlines; a line's set is its distinct tokens (lower-cased runs between spaces). A line
     goes if any line before it, by (doc_id, line number), has a set with a Jaccard similarity of ``threshold`` or
-    more; lines without tokens stay. The join is exact: lines of equal sets are one class, a class lists the prefix
+    more; lines of white space stay. The join is exact: lines of equal sets are one class, a class lists the prefix
     of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters
     are verified. First every class of a token meets the token's first class only; classes matched so need no further
     candidates, so a token with a great group of alike lines does not give all its pairs.
@@ -96,13 +102,14 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     levels = rarity_levels(docs)
     classes = stored(line_classes(docs, levels, threshold), "line_classes")
     spread = classes.select("at", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("at", "n", "pos")).alias("lead")).where("size > 1")
-    shared = stored(shared, "tokens")
-    members = stored(spread.join(shared.select("token", "lead"), "token"), "token_lines")
-    leads = shared.select("token", F.col("lead.at").alias("at"), F.col("lead.n").alias("n"), F.col("lead.pos").alias("pos"))
-    first = stored(_matched(_candidates(leads, members.drop("lead"), threshold), docs, threshold), "matched")
-    rest = members.drop("lead").join(first.select(F.col("b").alias("at")), "at", "left_anti")
-    second = _matched(_candidates(members.drop("lead"), rest, threshold), docs, threshold)
+    same = Window.partitionBy("token")
+    members = spread.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("lead", F.min(F.struct("at", "n", "pos")).over(same)).where("size > 1")
+    lead = F.when((F.col("lead.at") < F.col("at")) & _fits(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"), threshold), F.col("lead.at"))
+    members = stored(members.select("token", "at", "n", "pos", lead.alias("lead")), "token_lines")
+    first = stored(_matched(members.where("lead is not null").select(F.col("lead").alias("a"), F.col("at").alias("b")).distinct(), docs, threshold), "matched")
+    members = members.drop("lead")
+    rest = members.join(first.select(F.col("b").alias("at")), "at", "left_anti")
+    second = _matched(_candidates(members, rest, threshold), docs, threshold)
     gone = first.unionByName(second).select(F.col("b").alias("at"))
     kept = classes.select("at").join(gone, "at", "left_anti")
     per_doc = kept.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("kept"))

@@ -110,7 +110,7 @@ def lines_brute(docs, t=0.8):
         parts = (text or "").split("\n")
         left = []
         for p in parts:
-            s = frozenset(p.lower().split())
+            s = frozenset(w for w in p.lower().split(" ") if w) if p.strip() else frozenset()
             if not s or not any(jaccard(s, o) >= t for o in seen if t * len(s) <= len(o) + 1e-9 and len(o) * t <= len(s) + 1e-9):
                 left.append(p)
             if s:
