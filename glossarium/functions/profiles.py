@@ -9,6 +9,7 @@ import pandas as pd
 import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import text as T
 
@@ -88,7 +89,7 @@ def render(display_: Column, norm_: Column, p: Profile) -> Column:
     return T.squeeze(out)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def detached_marks(text: pd.Series) -> pd.Series:
     """Combining marks at the start, after white space or after another."""
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # The white space of Unicode's basic plane, line ends, and marks that stand for a prime.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,12 +50,12 @@ def regex(pattern: str, ignore_case: bool = False, whole: bool = False, start: b
     return "(?d" + ("iu" if ignore_case else "") + ")" + body
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _bare(text: pd.Series) -> pd.Series:
     drop = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
     return pd.Series([None if t is None else unicodedata.normalize("NFC", drop(t)) for t in text], dtype=object)
@@ -131,6 +132,6 @@ def indel_ratio(a: str, b: str) -> float:
     return (1.0 - (len(a) + len(b) - 2 * common) / (len(a) + len(b))) * 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
