@@ -67,7 +67,7 @@ def test_gradients_are_those_of_the_loss():
     target = rng.integers(0, 2 * language_model.CLASSES, c.shape)
     scored = live & (np.arange(language_model.SPAN) > 20)
     rows = np.flatnonzero(scored.reshape(-1))
-    loss = lambda: -net.log_probs(net.forward(c, live)[0][rows], target.reshape(-1)[rows]).mean()
+    loss = lambda: -net.log_probs(net.forward(c, live)[0][rows], target.reshape(-1)[rows])[0].mean()
     d = net.gradients(c, live, target, scored)
     for k in net.p:
         flat = net.p[k].reshape(-1)
