@@ -65,7 +65,7 @@ def test_gradients_are_those_of_the_loss():
     live = np.ones(c.shape, bool)
     live[0, :9] = False
     target = rng.integers(0, 2 * language_model.CLASSES, c.shape)
-    scored = live & (np.arange(language_model.SPAN) > 20)
+    scored = live & (np.arange(language_model.SPAN) > 15)
     rows = np.flatnonzero(scored.reshape(-1))
     loss = lambda: -net.log_probs(net.forward(c, live)[0][rows], target.reshape(-1)[rows])[0].mean()
     d = net.gradients(c, live, target, scored)
