@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,11 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that no one holds any more: it learns of them when the
+    driver collects its garbage, which a small driver with much memory does too seldom for the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str = "part", codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and a lost
     executor costs no recomputation beyond the files' readers."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glossarium-{uuid.uuid4().hex}/{name}"
+    release(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
