@@ -57,6 +57,27 @@ def test_windows_score_each_position_once_and_causally():
     assert np.allclose(a.reshape(shape)[:, :-1][before], b.reshape(shape)[:, :-1][before])
 
 
+def test_scorer_is_the_network():
+    net = language_model.Attention(np.zeros(2 * language_model.CLASSES))
+    lengths = np.array([1, 27, 100, 3])
+    first, begin = language_model.windows(lengths)
+    cls = np.random.default_rng(1).integers(0, 2 * language_model.CLASSES, lengths.sum())
+    inputs, live, target, scored, _ = language_model.gather(cls, np.cumsum(lengths), first, begin)
+    late = np.s_[:, language_model.SPAN - language_model.STRIDE :]
+    for size in (1, 1000):
+        net.p["q"] *= size
+        scorer = language_model.Scorer(net, np.ones(language_model.CLASSES))
+        assert scorer.calm == (size == 1)
+        slow = net.forward(inputs, live)[0].reshape(*inputs.shape, -1)[late]
+        assert np.allclose(scorer.hidden(inputs)[scored[late]], slow[scored[late]], rtol=1e-3, atol=1e-4)
+    logp, mean = scorer.log_probs(slow[scored[late]], target[scored])
+    side = target[scored] >= language_model.CLASSES
+    logits = slow[scored[late]] @ net.p["u"] + net.p["ub"]
+    logits[(np.arange(2 * language_model.CLASSES) >= language_model.CLASSES) != side[:, None]] = -1e9
+    want = logits[np.arange(len(side)), target[scored]] - np.log(np.exp(logits).sum(1))
+    assert np.allclose(logp, want, atol=1e-3) and np.allclose(mean, ~side, atol=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = language_model.Attention(np.zeros(2 * language_model.CLASSES))
@@ -67,7 +88,8 @@ def test_gradients_are_those_of_the_loss():
     target = rng.integers(0, 2 * language_model.CLASSES, c.shape)
     scored = live & (np.arange(language_model.SPAN) > 15)
     rows = np.flatnonzero(scored.reshape(-1))
-    loss = lambda: -net.log_probs(net.forward(c, live)[0][rows], target.reshape(-1)[rows])[0].mean()
+    scorer = lambda: language_model.Scorer(net, np.zeros(language_model.CLASSES))
+    loss = lambda: -scorer().log_probs(net.forward(c, live)[0][rows], target.reshape(-1)[rows])[0].mean()
     d = net.gradients(c, live, target, scored)
     for k in net.p:
         flat = net.p[k].reshape(-1)
