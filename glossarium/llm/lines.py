@@ -43,32 +43,43 @@ def _ordered(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
+def _parity(t: Column, half: int) -> Column:
+    """One of two words of bits, each the parity of the number of tokens that fall on it."""
+    bit = lambda h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     return doc_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each distinct set of tokens: where it comes first (doc_id, line_no), its size and its prefix."""
+    """A row for each distinct set of tokens: where it comes first (doc_id, line_no), its size, its bits of parity and
+    its prefix."""
     lines = numbered_lines(docs).where(F.rlike("line", F.lit(r"\S")))
     lines = lines.select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
     lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t")
     prefix = F.slice("t", F.lit(1), F.col("n") - _needed(F.col("n"), threshold) + 1)
-    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"))
-    return keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"))
+    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("s0"), _parity(F.col("t"), 1).alias("s1"))
+    return keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("s0", "s1", "prefix")))
 
 
-def _fits(na: Column, pa: Column, nb: Column, pb: Column, threshold: float) -> Column:
-    """The length and positional filters of two prefixes that share the tokens at places pa and pb."""
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """The length and positional filters of two prefixes that share the tokens at their places, and a bound by parity:
+    every token that only one of two sets has turns one bit, so they differ in at least as many tokens as in bits."""
+    na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
     overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
     shared_at_most = F.least(na - pa, nb - pb) + F.least(pa, pb)
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (shared_at_most >= overlap)
+    turned = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("s0", "s1"))
+    alike = turned <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (shared_at_most >= overlap) & alike
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of rows that share a prefix token, b first seen after a, past the filters."""
     a, b = left.alias("a"), right.alias("b")
     both = a.join(b, F.col("a.token") == F.col("b.token"))
-    fits = _fits(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), threshold)
+    fits = _fits("a.", "b.", threshold)
     return both.where((F.col("a.at") < F.col("b.at")) & fits).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
 
 
@@ -92,8 +103,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines are cut at newlines; a line's set is its distinct tokens (lower-cased runs between spaces). A line
     goes if any line before it, by (doc_id, line number), has a set with a Jaccard similarity of ``threshold`` or
     more; lines of white space stay. The join is exact: lines of equal sets are one class, a class lists the prefix
-    of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters
-    are verified. First every class of a token meets the token's first class only; classes matched so need no further
+    of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters,
+    and a bound by bits of parity that loses no pair, are verified. First every class of a token meets the token's first class only; classes matched so need no further
     candidates, so a token with a great group of alike lines does not give all its pairs.
 
     Null and empty texts have one empty line and keep it; of rows with the same doc_id the lines count as the same
@@ -101,11 +112,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     levels = rarity_levels(docs)
     classes = stored(line_classes(docs, levels, threshold), "line_classes")
-    spread = classes.select("at", "n", F.posexplode("prefix").alias("pos", "token"))
+    spread = classes.select("at", "n", "s0", "s1", F.posexplode("prefix").alias("pos", "token"))
     same = Window.partitionBy("token")
-    members = spread.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("lead", F.min(F.struct("at", "n", "pos")).over(same)).where("size > 1")
-    lead = F.when((F.col("lead.at") < F.col("at")) & _fits(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"), threshold), F.col("lead.at"))
-    members = stored(members.select("token", "at", "n", "pos", lead.alias("lead")), "token_lines")
+    members = spread.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("lead", F.min(F.struct("at", "n", "pos", "s0", "s1")).over(same)).where("size > 1")
+    lead = F.when((F.col("lead.at") < F.col("at")) & _fits("lead.", "", threshold), F.col("lead.at"))
+    members = stored(members.select("token", "at", "n", "pos", "s0", "s1", lead.alias("lead")), "token_lines")
     first = stored(_matched(members.where("lead is not null").select(F.col("lead").alias("a"), F.col("at").alias("b")).distinct(), docs, threshold), "matched")
     members = members.drop("lead")
     rest = members.join(first.select(F.col("b").alias("at")), "at", "left_anti")
