@@ -31,10 +31,10 @@ DISCOUNT = 0.7
 #: Classes of ids that begin a word, and of the others; width of the embedding and of the hidden layer.
 CLASSES, WIDTH, HIDDEN = 128, 16, 32
 #: Positions of a window, and how many of the last it scores; those before are context only.
-SPAN, STRIDE = 32, 24
-#: Of every so many words of the training texts of a block a window begins at one in a round, at another in the next;
-#: rounds; windows in a step; step size. A task with few windows goes over them again until it has made LEAST_STEPS steps.
-ONE_IN, ROUNDS, STEP, RATE, LEAST_STEPS = 480, 2, 32, 0.01, 200
+SPAN, STRIDE = 40, 28
+#: Rounds; windows in a step; step size. In a round every id of the training texts is a target once. A task with few
+#: windows goes over them again until it has made LEAST_STEPS steps.
+ROUNDS, STEP, RATE, LEAST_STEPS = 2, 32, 0.01, 500
 END = b""
 _STRAY = 1e-6  # of a non-initial position for an id that begins with the word mark
 
@@ -211,11 +211,13 @@ class Scorer:
             at = np.flatnonzero((target >= CLASSES) == bool(side))
             if not len(at):
                 continue
+            at = np.pad(at, (0, -len(at) % 64), "edge")  # full blocks, as products round otherwise at their edges
             rows = g.take(at, 0)
             logits = rows @ u
             logits += ub
-            if np.sqrt(np.einsum("ij,ij->i", rows, rows).max()) * steep + flat > 80:
-                logits -= logits.max(1, keepdims=True)
+            high = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * steep + flat > 80
+            if high.any():  # by row, so that a row's result does not depend on the others
+                logits[high] -= logits[high].max(1, keepdims=True)
             own = logits[np.arange(len(at)), target[at] - side * CLASSES]
             np.exp(logits, out=logits)
             total = logits @ self.sums
@@ -335,44 +337,46 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return pa.array(flat, pa.binary()), n
 
 
-def _chosen(layout: Layout, model_path: str, texts: list[bytes], round_: int) -> list[np.ndarray]:
-    """A window of every ONE_IN words: inputs, live, targets, scored. Only the words around a window are spelled: every
-    word has an id at least, so SPAN - STRIDE + 1 words are context enough and STRIDE words targets enough."""
+def _coded(layout: Layout, model_path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all ids of texts one after another, and how many ids each text has."""
     words, n = _words(texts)
-    ends = np.cumsum(n)
-    at = np.arange((len(words) // 3 + round_ * (ONE_IN // 2 + 7)) % min(ONE_IN, len(words)), len(words), ONE_IN)
-    text = np.searchsorted(ends, at, side="right")
-    start, stop = np.maximum((ends - n)[text], at - (SPAN - STRIDE + 1)), np.minimum(ends[text], at + STRIDE)
-    size = stop - start
-    run = np.cumsum(size) - size  # where each run of words begins
-    taken = np.arange(int(size.sum())) - np.repeat(run, size) + np.repeat(start, size)
-    coded = words.take(pa.array(taken)).dictionary_encode()
+    coded = words.dictionary_encode()
     ids, owner = Spelling(coded.dictionary, model_path, layout.eos).text(np.asarray(coded.indices))
-    place = np.searchsorted(owner, np.arange(len(taken)))  # the first id of each word
-    limits = np.append(place[run[1:]], len(ids))
-    inputs, live, target, scored, _ = gather(layout.cls[ids], limits, place[run + at - start], place[run])
-    return [inputs.astype(np.int16), live, target.astype(np.int16), scored]
+    return layout.cls[ids], np.bincount(np.repeat(np.arange(len(n)), n)[owner], minlength=len(n))
+
+
+def _steps(cls: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
+    """Inputs, live, targets, scored of the steps over all windows of texts, in random order: every id is a target once."""
+    ends = np.cumsum(lengths)
+    first, begin = windows(lengths)
+    order = rng.permutation(len(first))
+    for at in range(0, len(order), STEP):
+        pick = order[at : at + STEP]
+        yield gather(cls, ends, first[pick], begin[pick])[:4]
 
 
 def _train(layout: Layout, model_path: str, flat: np.ndarray | None, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Attention(layout.prior, flat)
-        rng, parts = np.random.default_rng(round_), []
+        adam, rng, steps, kept = Adam(net), np.random.default_rng(round_), 0, []
+
+        def learn(cls: np.ndarray, lengths: np.ndarray) -> None:
+            nonlocal steps
+            for inputs, live, target, scored in _steps(cls, lengths, rng):
+                adam.step(net.gradients(inputs, live, target, scored), RATE / (1 + round_) / (1 + steps / 400) ** 0.5)
+                steps += 1
+
         for batch in batches:
             for train, texts in zip(batch.column("train"), batch.column("texts")):
                 texts = [t for ok, t in zip(train.as_py(), texts.as_py()) if ok]
                 if texts:
-                    parts.append(_chosen(layout, model_path, texts, round_))
-        adam, steps = Adam(net), 0
-        if parts:
-            inputs, live, target, scored = (np.concatenate(x) for x in zip(*parts))
-            while steps < max(LEAST_STEPS, len(inputs) // STEP):
-                order = rng.permutation(len(inputs))
-                for at in range(0, len(order), STEP):
-                    pick = order[at : at + STEP]
-                    d = net.gradients(inputs[pick].astype(np.int64), live[pick], target[pick].astype(np.int64), scored[pick])
-                    adam.step(d, RATE / (1 + round_) / (1 + steps / 400) ** 0.5)
-                    steps += 1
+                    block = _coded(layout, model_path, texts)
+                    learn(*block)
+                    kept = [*kept, block] if steps < LEAST_STEPS else []
+        if kept:
+            cls, lengths = (np.concatenate(x) for x in zip(*kept))
+            while steps < LEAST_STEPS:
+                learn(cls, lengths)
         if steps:
             p = net.flat().astype(np.float64) * steps
             yield pa.RecordBatch.from_arrays(
@@ -449,8 +453,8 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     Documents for which the condition ``held_out`` is true are not learned from (default: none). Documents are packed
     into blocks of BLOCK bytes, written once; a block's distinct words meet their corpus-wide counts by a shuffle on the
     word, one row per word and block, so a frequent word has as many rows as there are blocks. Training is data-parallel:
-    every task steps through windows of all its training texts, and the parameters are averaged over tasks by steps
-    between rounds. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
+    every task steps through all windows of all its training texts, block by block, so that each id is a target once a
+    round, and the parameters are averaged over tasks by steps between rounds. This is most of the time the query takes. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
 
     Null and empty texts are scored as an end alone; equal texts of a block's fold score alike; repeated rows stay; an
     empty table gives none; without training texts words are only spelled; further columns are not read.
