@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import log
+import json
+from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,23 @@ EDGES = {
     "word_length": (4.0, 5.0, 6.5, 9.0),
 }
 MAX_STEPS, TOLERANCE, RIDGE = 40, 1e-6, 1e-4
+#: Words are told apart by a hash to so many buckets. A bucket is evidence if its share of some domain's labelled documents is
+#: so many standard deviations off that of all; shares are raised by PRIOR documents of the common share.
+BUCKETS, DEVIATIONS, PRIOR = 1 << 16, 3.0, 4.0
+
+
+def word_buckets(text: Column) -> Column:
+    """Distinct buckets of a text's lower-cased words (runs without white space)."""
+    spaced = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
+    tokens = F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
+    return F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (runs without white space) and the bin of each measure."""
+    """doc_id, n_tokens (runs without white space), the distinct buckets of its words and the bin of each measure."""
     text = doc_text(docs).select(
         "doc_id",
+        word_buckets(F.col("text")).alias("words"),
         F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"),
         F.length("text").alias("size"),
         F.regexp_count("text", F.lit("[A-Z]")).alias("upper"),
@@ -45,7 +57,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def bin_of(name: str) -> Column:
         return sum(((value[name] > edge).cast("int") for edge in EDGES[name]), F.lit(0)).alias(name)
 
-    return text.select("doc_id", "n_tokens", *(bin_of(k) for k in EDGES))
+    return text.select("doc_id", "n_tokens", "words", *(bin_of(k) for k in EDGES))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -57,28 +69,53 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", F.when(F.col("w") == 2, "toxic").when(F.col("w") == 1, "low_quality").otherwise("clean").alias("domain"))
 
 
-def posteriors(cells: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``cells`` with a column p: the probabilities of DOMAINS by naive Bayes on the bins, counts raised by one.
+def word_evidence(labelled: DataFrame, total: dict[str, int]) -> list[list[float]]:
+    """For each domain and bucket, the log of the domain's share of documents that hold the bucket over that of all
+    labelled documents, 0 where the shares do not differ. A table of fixed size."""
+    docs = sum(total.values())
+    out = [[0.0] * BUCKETS for _ in DOMAINS]
+    counts = labelled.select("domain", F.explode("words").alias("word")).groupBy("word")
+    for r in counts.agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).collect():
+        share = sum(r[d] for d in DOMAINS) / docs
+        deviation = {d: sqrt(total[d] * share * (1 - share)) for d in DOMAINS}
+        if any(abs(r[d] - total[d] * share) > DEVIATIONS * deviation[d] > 0 for d in DOMAINS):
+            for k, d in enumerate(DOMAINS):
+                out[k][r["word"]] = log((r[d] + PRIOR * share) / (total[d] + PRIOR) / share)
+    return out
+
+
+def posteriors(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``rows`` with a column p: the probabilities of DOMAINS by naive Bayes on the bins, counts raised by one, and on
+    the words.
 
-    ``labelled`` has the bins and the domain. The table of counts has a row for each bin, domain and measure, so its
-    size is fixed. Without labels all domains are equally likely.
+    ``labelled`` has the bins, the words and the domain. The tables of counts have a row for each bin, domain and measure and
+    for each bucket, so their size is fixed. Without labels all domains are equally likely.
     """
     prior = labelled.groupBy("domain").count().collect()
     total = {d: 0 for d in DOMAINS} | {r["domain"]: r["count"] for r in prior}
     bins = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin")) for k in EDGES))).alias("x")
     counts = labelled.select("domain", bins).groupBy("domain", "x.measure", "x.bin").count().collect()
     seen = {(r["domain"], r["measure"], r["bin"]): r["count"] for r in counts}
-    def log_score(d: str) -> Column:
+    words = word_evidence(labelled, total)
+    telling = [b for b in range(BUCKETS) if any(w[b] for w in words)]
+    place = [-1] * BUCKETS
+    for i, b in enumerate(telling):
+        place[b] = i
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+    rows = rows.withColumn("known", F.filter(F.transform("words", lambda b: F.get(literal(place, "int"), b)), lambda i: i >= 0))
+
+    def log_score(k: int, d: str) -> Column:
         out = F.lit(log(total[d] + 1))
-        for k, edges in EDGES.items():
+        for name, edges in EDGES.items():
             n = len(edges) + 1
-            table_ = F.array(*(F.lit(log((seen.get((d, k, b), 0) + 1) / (total[d] + n))) for b in range(n)))
-            out = out + F.get(table_, F.col(k))
-        return out
+            table_ = F.array(*(F.lit(log((seen.get((d, name, b), 0) + 1) / (total[d] + n))) for b in range(n)))
+            out = out + F.get(table_, F.col(name))
+        weights = literal([words[k][b] for b in telling], "double")
+        return out + F.aggregate("known", F.lit(0.0), lambda a, i: a + F.get(weights, i))
 
-    scored = cells.withColumn("s", F.array(*(log_score(d) for d in DOMAINS)))
+    scored = rows.withColumn("s", F.array(*(log_score(k, d) for k, d in enumerate(DOMAINS))))
     scored = scored.withColumn("e", F.transform("s", lambda v: F.exp(v - F.array_max("s"))))
-    return scored.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))).drop("s", "e")
+    return scored.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))).drop("s", "e", "known")
 
 
 def _rate(dual: list[float]) -> Column:
@@ -106,7 +143,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
 
     Over nonnegative rates r it minimises |totals - wanted|**2 / ridge + |r - 1|**2, where totals are the expected
     tokens of the domains as shares of all tokens, wanted is targets times ``total`` (default: the tokens there are),
-    and rows weigh by their tokens. ``cells`` has the tokens m and probabilities p of groups of documents; documents
+    and rows weigh by their tokens. ``cells`` has the tokens m and probabilities p of documents; documents
     of equal p have equal rates. A step sums residuals over the cells in parallel, scales them by the Gram matrix of
     the memberships, adds them up and projects the rates; one number per domain goes to the driver. The scaled step
     is never longer than the curvature allows, as the Gram matrix of the rows off the bound is at most that of all.
@@ -134,16 +171,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """doc_id, n_tokens, p (probabilities of DOMAINS), rate and copies of each document.
 
     rate is how often a document is to be expected in the mixture; copies is its whole part, and one more with the
-    probability of the rest, by a hash of the id. Null and empty texts have no tokens and get a rate as others of
-    their bins; equal texts get equal rates; an empty table gives none; further columns are not read.
+    probability of the rest, by a hash of the id. Null and empty texts have no tokens and are judged by their
+    bins alone; equal texts get equal rates; an empty table gives none; further columns are not read.
     """
     bins = stored(measured(docs), "measured")
-    labelled = bins.join(domain_of(labels), "doc_id").select(*EDGES, "domain")
-    cells = bins.groupBy(*EDGES).agg(F.sum("n_tokens").cast("double").alias("m"))
-    # at most the product of the numbers of bins, 2000 rows: a fixed bound
-    cells = stored(posteriors(cells, labelled).repartition(1), "cells")
-    rated = cells.select(*EDGES, "p", fit_rates(cells, targets, total).alias("rate"))
-    out = bins.join(F.broadcast(rated), list(EDGES))
+    labelled = stored(bins.join(domain_of(labels).hint("merge"), "doc_id").select(*EDGES, "words", "domain"), "labelled")
+    judged = stored(posteriors(bins, labelled).select("doc_id", "n_tokens", "p"), "judged")
+    out = judged.withColumn("rate", fit_rates(judged.select(F.col("n_tokens").cast("double").alias("m"), "p"), targets, total))
     spot = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
     return out.select("doc_id", "n_tokens", "p", "rate", F.floor(F.col("rate") + spot).cast("int").alias("copies"))
 

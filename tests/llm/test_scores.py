@@ -218,6 +218,21 @@ def test_rates_equal_projected_least_squares(spark, sf):
     assert ((copies == np.floor(r)) | (copies == np.floor(r) + 1)).all()
 
 
+def test_posteriors_separate_domains_by_words(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(["rain", "tree", "house", "stone", "river", "cloud"]) for _ in range(30)]
+        if i % 5 < 2:  # as long as a word of the others, so that no measure of the text tells
+            words[rng.randrange(30)] = rng.choice(["vexer", "grubs"] if i % 5 == 0 else ["blurb", "promo"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 != 1), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.p for r in mixing.mix(docs, known).collect()}
+    assert all(np.argmax(got[i]) == {0: 2, 1: 1}.get(i % 5, 0) for i in range(400, 600))
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "a b c", 9), (3, "a b c", 9), (4, "W! " * 9000, 9)], "doc_id long, text string, m int")
     labels = spark.createDataFrame([(3, None, None), (3, 0, None), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
