@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,29 @@ from ..operators.graph import components
 from .common import ship, stored, table
 
 THRESHOLD = 0.98
-#: Sorted passes, hash bits that make a pass's sort key, and neighbours compared with each vector in a pass.
+#: Least sorted passes and hash bits that make a pass's sort key, and neighbours compared with each vector in a pass.
 PASSES, BITS, WINDOW = 10, 32, 12
+#: Share of links at the threshold that passes are to hold, for labels whose rows need so many bits for each halving.
+RECALL, BITS_A_HALVING = 0.999, 2.0
 #: Rows in a block when a component's members are compared with each other.
 BLOCK = 512
 SEED = 20240501
 
 
+def effort(size: int, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[int, int]:
+    """Passes and bits for a largest label of ``size`` classes.
+
+    Two vectors at the threshold agree in a bit with probability 1 - angle / pi. They are in one window for sure if they agree
+    in so many first bits that no more classes than the window have these in common: log2(size / window) bits if bits halve
+    the classes evenly, BITS_A_HALVING times as many allowed for as clustered classes are not halved evenly. Passes are
+    independent, so the links that all of them lose are at most 1 - RECALL.
+    """
+    first = BITS_A_HALVING * log2(max(2.0, size / window))
+    bits = min(62, max(BITS, ceil(first)))
+    held = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** min(first, bits)
+    return (PASSES if held >= 1 else max(PASSES, ceil(log(1 - RECALL) / log(1 - held)))), bits
+
+
 def planes(dim: int, passes: int = PASSES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """Random directions, passes by bits by dim: the same for everyone who asks."""
     return np.random.default_rng(seed).standard_normal((passes, bits, dim))
@@ -157,13 +174,14 @@ def _count_links(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, bits: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row (vec_id, embedding, label).
 
     Equal vectors of a label are one class with a count. In every pass classes are ordered by label and by a key of
     concatenated random hashes, and each is compared with its ``window`` neighbours, across partitions too; pairs
     of all passes are united. Then the members of each component are compared with each other in blocks, which
-    finds the links within it that no window held; only counts leave a block.
+    finds the links within it that no window held; only counts leave a block. Passes and bits follow from the size of
+    the largest label unless they are given.
 
     Null labels and null, empty, zero or non-finite vectors, and vectors of different length, link with nothing; a
     repeated row (same id and vector) is one copy more of its class; an empty table gives none; further columns are
@@ -174,6 +192,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     base = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     valid = base.mapInArrow(_prepared, "vec_id long, label string, v binary")
     classes = stored(valid.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "classes")
+    largest = classes.groupBy("label", F.length("v")).count().agg(F.max("count")).first()[0] or 0
+    passes, bits = (given or needed for given, needed in zip((passes, bits), effort(largest, threshold, window)))
     keyed = classes.select("vec_id", "label", "v").mapInArrow(_keyed(passes, bits), "pass int, key long, dim int, vec_id long, label string, v binary")
     spread = keyed.repartitionByRange("pass", "label", "dim", "key", "vec_id").sortWithinPartitions("pass", "label", "dim", "key", "vec_id")
     seen = stored(spread.mapInPandas(_windows(threshold, window), _WINDOW_SCHEMA), "windows")

@@ -160,3 +160,22 @@ def test_near_vectors_odd_rows(spark):
     assert all(got[i] == (0, i) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert all(got[100 + i] == (89, 100) for i in range(90))
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_vectors_of_a_large_clustered_label(spark):
+    rng = np.random.default_rng(11)
+    n, dim = 4000, 64
+    x = rng.standard_normal((20, dim))[rng.integers(0, 20, n)] + 0.6 * rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.982 * x + (1 - 0.982**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in embeddings.near_vectors(df, window=2).collect()}
+    assert sum(got[i] == got[n + i] for i in range(n)) >= 0.998 * n
+
+
+def test_passes_follow_from_the_largest_label():
+    sizes = [embeddings.effort(n) for n in (0, 1, 500, 10**4, 10**5, 5 * 10**5, 10**8)]
+    assert sizes[0] == (embeddings.PASSES, embeddings.BITS) and sizes == sorted(sizes) and sizes[4][0] > 30
