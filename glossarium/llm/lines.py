@@ -15,9 +15,17 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 17
 
 
+def _spaced(text: Column, more: str = "") -> Column:
+    """The lower-cased text with a space for every tab, VT, FF, CR and each of ``more``."""
+    out = F.lower(text)
+    for c in "\t\x0b\f\r" + more:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def _hashes(line: Column) -> Column:
-    """Hashes of a line's tokens: lower-cased runs between spaces."""
-    hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
+    """Hashes of a line's tokens: lower-cased runs without white space."""
+    hashes = F.transform(F.split(_spaced(line), " "), lambda t: F.xxhash64(t))
     return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
@@ -28,7 +36,7 @@ def _needed(n: Column, threshold: float) -> Column:
 def rarity_levels(docs: DataFrame) -> Column:
     """Number of bits of the count of each bucket of token hashes over all lines, as a literal array: its size is
     fixed, whatever the corpus."""
-    words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")
+    words = F.split(_spaced(F.col("text"), "\n"), " ")
     tokens = doc_text(docs).select(F.explode(words).alias("token"))
     counts = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("k")).count()
     levels = [0] * BUCKETS
@@ -100,7 +108,7 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left.
 
-    Lines are cut at newlines; a line's set is its distinct tokens (lower-cased runs between spaces). A line
+    Lines are cut at newlines; a line's set is its distinct tokens (lower-cased runs without white space). A line
     goes if any line before it, by (doc_id, line number), has a set with a Jaccard similarity of ``threshold`` or
     more; lines of white space stay. The join is exact: lines of equal sets are one class, a class lists the prefix
     of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters,

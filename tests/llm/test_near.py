@@ -135,6 +135,22 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_cuts_at_all_white_space(spark):
+    words = "one two three four five six seven eight"
+    rows = [(1, words), (2, words + "\r\nnew line\r"), (3, "\t" + words), (4, words.replace(" ", "\t")), (5, words.replace(" ", "\x0b\f ")), (6, "new\tline")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, want = [], {}
+    for i, text in rows:  # tokens as str.split cuts them
+        left = []
+        for line in text.split("\n"):
+            s = frozenset(line.lower().split())
+            if not any(jaccard(s, o) >= 0.8 for o in seen):
+                left.append(line)
+            seen.append(s)
+        want[i] = (len(text.split("\n")) - len(left), "\n".join(left))
+    assert got == want and [got[i][0] for i in range(1, 7)] == [0, 1, 1, 1, 1, 1]
+
+
 def test_near_vectors_against_brute_force(spark, sf):
     df = table(spark, sf, "embeddings")
     rows = [(r.vec_id, embeddings.unit(r.embedding), r.label) for r in df.collect()]
