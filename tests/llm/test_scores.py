@@ -199,6 +199,15 @@ def test_url_rules_are_mined_from_labels(spark):
     assert all("spam.net" in got[i][1] for i in range(0, 200, 4))
 
 
+def test_url_rules_see_deep_paths_and_long_hosts(spark):
+    deep = "/".join("abcdefghijklmnopqrst")  # segments of all pages, then the one that tells
+    url = lambda i: f"https://{'bad' if i % 4 == 0 else 'h' + str(i % 9)}.e.d.c.b.a.net/x" if i % 2 == 0 else f"https://h{i % 9}.net/{deep}/{'spam' if i % 4 == 1 else 'fine'}"
+    pages = spark.createDataFrame([(i, url(i)) for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 1), 0) for i in range(320)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.url_filter(pages, labels).collect()}
+    assert all((got[i] == "block") == (i % 4 < 2) for i in range(400))
+
+
 # ---- mixing
 
 
