@@ -48,7 +48,7 @@ def near_brute(docs):
 
 def test_shingles_are_those_of_the_words():
     texts = ["a b c d e f", "", "A  B\nc", "x " * 9, "one two three four five six seven eight", "é ü ß   y"]
-    doc, s = minhash.shingles([t.encode() for t in texts])
+    doc, s, _ = minhash.shingles([t.encode() for t in texts])
     for i, t in enumerate(texts):
         assert (doc == i).sum() == len(shingle_set(t)), t
     assert len(set(s[doc == 0]) & set(s[doc == 2])) == 0
@@ -77,10 +77,49 @@ def test_near_duplicates_equal_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = near_brute(rows)
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, weighted=False).collect()}
     assert got == want
 
 
+def occurrences(text):
+    seen, out = {}, set()
+    w = (text or "").encode().lower().split()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        s = tuple(w[i : i + 5])
+        seen[s] = seen.get(s, 0) + 1
+        out.add((s, seen[s]))
+    return out
+
+
+def test_weighted_near_duplicates_equal_brute_force(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows += [(10_000, "p q r s t " * 30 + "u"), (10_001, "p q r s t " * 3 + "u"), (10_002, "p q r s t " * 28 + "u")]
+    rows += [(10_010, "same line of words here " * 4), (10_011, "same line of words here " * 4 + "x" * 300_000)]
+    sets = {i: occurrences(t) for i, t in rows}
+    ids = [i for i in sets if sets[i]]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 0.79 * len(sets[a]) <= len(sets[b]) <= 1.27 * len(sets[a]) and jaccard(sets[a], sets[b]) >= 0.8]
+    want = find_components(list(sets), links)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert want[10_002] == 10_000 and want[10_001] == 10_001
+
+
+def test_near_duplicates_of_a_bucket_beyond_a_block(spark, monkeypatch):
+    """Copies of one text with edits: more than a block holds, many pairs just below the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(9)
+    words = [f"g{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        copy = list(words)
+        for _ in range(rng.randrange(1, 7)):
+            del copy[rng.randrange(len(copy))]
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighted=False).collect()}
+    assert got == near_brute(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(100))
     near = base.replace("w50", "x50")
