@@ -32,9 +32,9 @@ DISCOUNT = 0.7
 CLASSES, WIDTH, HIDDEN = 128, 16, 32
 #: Positions of a window, and how many of the last it scores; those before are context only.
 SPAN, STRIDE = 40, 28
-#: Rounds; windows in a step; step size. In a round every id of the training texts is a target once. A task with few
-#: windows goes over them again until it has made LEAST_STEPS steps.
-ROUNDS, STEP, RATE, LEAST_STEPS = 2, 32, 0.01, 500
+#: Rounds; windows in a step; step size. Each round takes its share of the windows of every training text, so that over
+#: all rounds every id is a target once.
+ROUNDS, STEP, RATE = 2, 32, 0.02
 END = b""
 _STRAY = 1e-6  # of a non-initial position for an id that begins with the word mark
 
@@ -119,20 +119,21 @@ class Attention:
     def gradients(self, c: np.ndarray, live: np.ndarray, target: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         g, (x, q, k, v, s, z, h) = self.forward(c, live)
-        rows = np.flatnonzero(scored.reshape(-1))
-        t = target.reshape(-1)[rows]
-        logits = g[rows] @ p["u"] + p["ub"]
-        side = t >= CLASSES
-        logits[:, :CLASSES][side] = -1e4
-        logits[:, CLASSES:][~side] = -1e4
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits[np.arange(len(t)), t] -= 1
-        logits /= max(1, len(t))
-        d = {"u": g[rows].T @ logits, "ub": logits.sum(0)}
+        at = np.flatnonzero(scored.reshape(-1))
+        t = target.reshape(-1)[at]
+        d = {"u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
         dg = np.zeros_like(g)
-        dg[rows] = logits @ p["u"].T
+        for side in (0, 1):
+            of = (t >= CLASSES) == bool(side)
+            rows, cut = at[of], slice(side * CLASSES, (side + 1) * CLASSES)
+            logits = g[rows] @ p["u"][:, cut] + p["ub"][cut]
+            logits -= logits.max(1, keepdims=True, initial=-1e4)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(1, keepdims=True)
+            logits[np.arange(len(rows)), t[of] - side * CLASSES] -= 1
+            logits /= max(1, len(t))
+            d["u"][:, cut], d["ub"][cut] = g[rows].T @ logits, logits.sum(0)
+            dg[rows] = logits @ p["u"][:, cut].T
         dg *= g > 0
         d["hb"] = dg.sum(0)
         flat = lambda a: a.reshape(-1, WIDTH)
@@ -154,10 +155,11 @@ class Attention:
 
 
 class Adam:
+    """Adam steps, and ``mean``: the parameters averaged over the steps, the latest ones the most."""
+
     def __init__(self, net: Attention):
         self.net, self.t = net, 0
-        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.m, self.s, self.mean = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(3))
 
     def step(self, d: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
@@ -165,6 +167,7 @@ class Adam:
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.s[k] = 0.99 * self.s[k] + 0.01 * g * g
             self.net.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+            self.mean[k] += np.float32(4 / (self.t + 3)) * (self.net.p[k] - self.mean[k])
 
 
 class Scorer:
@@ -345,11 +348,11 @@ def _coded(layout: Layout, model_path: str, texts: list[bytes]) -> tuple[np.ndar
     return layout.cls[ids], np.bincount(np.repeat(np.arange(len(n)), n)[owner], minlength=len(n))
 
 
-def _steps(cls: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
-    """Inputs, live, targets, scored of the steps over all windows of texts, in random order: every id is a target once."""
+def _steps(cls: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, round_: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Inputs, live, targets, scored of the steps over the round's share of all windows of texts, in random order."""
     ends = np.cumsum(lengths)
     first, begin = windows(lengths)
-    order = rng.permutation(len(first))
+    order = rng.permutation(np.arange(round_, len(first), ROUNDS))
     for at in range(0, len(order), STEP):
         pick = order[at : at + STEP]
         yield gather(cls, ends, first[pick], begin[pick])[:4]
@@ -358,29 +361,18 @@ def _steps(cls: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> It
 def _train(layout: Layout, model_path: str, flat: np.ndarray | None, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Attention(layout.prior, flat)
-        adam, rng, steps, kept = Adam(net), np.random.default_rng(round_), 0, []
-
-        def learn(cls: np.ndarray, lengths: np.ndarray) -> None:
-            nonlocal steps
-            for inputs, live, target, scored in _steps(cls, lengths, rng):
-                adam.step(net.gradients(inputs, live, target, scored), RATE / (1 + round_) / (1 + steps / 400) ** 0.5)
-                steps += 1
-
+        adam, rng = Adam(net), np.random.default_rng(round_)
         for batch in batches:
             for train, texts in zip(batch.column("train"), batch.column("texts")):
                 texts = [t for ok, t in zip(train.as_py(), texts.as_py()) if ok]
                 if texts:
-                    block = _coded(layout, model_path, texts)
-                    learn(*block)
-                    kept = [*kept, block] if steps < LEAST_STEPS else []
-        if kept:
-            cls, lengths = (np.concatenate(x) for x in zip(*kept))
-            while steps < LEAST_STEPS:
-                learn(cls, lengths)
-        if steps:
-            p = net.flat().astype(np.float64) * steps
+                    for step in _steps(*_coded(layout, model_path, texts), rng, round_):
+                        adam.step(net.gradients(*step), RATE / (1 + round_) / (1 + adam.t / 400) ** 0.5)
+        if adam.t:
+            net.p = adam.mean
+            p = net.flat().astype(np.float64) * adam.t
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(p)), pa.int64()), pa.array(p), pa.array(np.full(len(p), float(steps)))], names=["i", "v", "w"]
+                [pa.array(np.arange(len(p)), pa.int64()), pa.array(p), pa.array(np.full(len(p), float(adam.t)))], names=["i", "v", "w"]
             )
 
     return run
@@ -453,8 +445,8 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     Documents for which the condition ``held_out`` is true are not learned from (default: none). Documents are packed
     into blocks of BLOCK bytes, written once; a block's distinct words meet their corpus-wide counts by a shuffle on the
     word, one row per word and block, so a frequent word has as many rows as there are blocks. Training is data-parallel:
-    every task steps through all windows of all its training texts, block by block, so that each id is a target once a
-    round, and the parameters are averaged over tasks by steps between rounds. This is most of the time the query takes. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
+    every task steps through its training texts, block by block, a share of their windows in each round, so that over all
+    rounds each id is a target once; the parameters are averaged over a task's steps, and over tasks between rounds. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
 
     Null and empty texts are scored as an end alone; equal texts of a block's fold score alike; repeated rows stay; an
     empty table gives none; without training texts words are only spelled; further columns are not read.

@@ -114,13 +114,12 @@ def test_language_model_odd_rows(spark):
     assert len(language_model.score_documents(df, public_model(), F.lit(True)).collect()) == 7
 
 
-def test_training_covers_every_id_once_a_round():
+def test_training_covers_every_id_once_over_the_rounds():
     lengths = np.array([1, 300, 28, 5, 1000, 29])
     codes = np.arange(lengths.sum())
-    for round_ in range(language_model.ROUNDS):
-        steps = list(language_model._steps(codes, lengths, np.random.default_rng(round_)))
-        assert sorted(np.concatenate([t[s] for _, _, t, s in steps]).tolist()) == codes.tolist()
-        assert max(len(t) for _, _, t, _ in steps) <= language_model.STEP
+    steps = [s for k in range(language_model.ROUNDS) for s in language_model._steps(codes, lengths, np.random.default_rng(k), k)]
+    assert sorted(np.concatenate([t[s] for _, _, t, s in steps]).tolist()) == codes.tolist()
+    assert max(len(t) for _, _, t, _ in steps) <= language_model.STEP
 
 
 # ---- toxicity
