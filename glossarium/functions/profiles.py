@@ -40,6 +40,12 @@ class Profile:
     #: (condition, values): condition has contains, contains_any or pattern; all must hold, later rules overwrite
     rules: tuple[tuple[dict, dict], ...] = ()
     allowed_symbols: str = ""
+    #: further known symbols, from a corpus' inventory
+    inventory: tuple[str, ...] = ()
+    enforce_stress_consistency: bool = False
+    require_prime: bool = False
+    require_acute: bool = False
+    require_pronunciation: bool = False
 
     def __post_init__(self):
         if self.unicode not in ("NFC", "NFD", "NFKC", "NFKD"):
@@ -93,15 +99,18 @@ def render(display_: Column, norm_: Column, p: Profile) -> Column:
 def detached_marks(text: pd.Series) -> pd.Series:
     """Combining marks at the start, after white space or after another."""
 
-    def count(t: str | None) -> int:
+    def count(t: str) -> int:
         n, last = 0, " "
-        for ch in t or "":
+        for ch in t:
             if unicodedata.combining(ch) and (last.isspace() or unicodedata.combining(last)):
                 n += 1
             last = ch
         return n
 
-    return pd.Series([count(t) for t in text], dtype="int32")
+    return pd.Series([None if t is None else count(t) for t in text], dtype="Int32")
+
+
+detached_marks = detached_marks.asNondeterministic()
 
 
 def _has(c: Column, s: str) -> Column:
@@ -140,7 +149,7 @@ def features(c: Column, p: Profile) -> dict[str, Column]:
         "prime_count": ((F.length(c) - F.length(F.replace(c, F.lit(p.prime), F.lit("")))) / len(p.prime)).cast("int"),
         "accented_vowel_count": accented,
         "has_accented_vowel": accented > 0,
-        "combining_detached_count": F.when(F.rlike(c, F.lit(T.ASCII_ONLY)), 0).otherwise(detached_marks(c)),
+        "combining_detached_count": F.coalesce(detached_marks(F.when(F.rlike(c, F.lit(r"\p{M}")), c)), F.lit(0)),
         "primary_stress_count": primary_stress(c, p),
     }
     if p.stress_marks:
@@ -163,21 +172,50 @@ def symbols_used(c: Column) -> Column:
     return F.array_sort(chars)
 
 
+def allowed_symbols(p: Profile) -> list[str]:
+    """What a profile declares anywhere: marks, both sides of its map, extras and the inventory."""
+    marks = "".join([p.prime, p.acute_vowels, *p.stress_marks, *p.quantity_marks])
+    return sorted({"ʹ", "ſ", "-", *marks, *p.allowed_symbols, *p.inventory, *"".join(p.char_map), *"".join(p.char_map.values())})
+
+
 def unknown_symbols(c: Column, p: Profile) -> Column:
-    known = sorted({p.prime, "ſ", "-", *p.allowed_symbols, *p.stress_marks, *p.quantity_marks, *"".join(p.char_map), *"".join(p.char_map.values())})
-    return F.array_except(symbols_used(c), F.array(*map(F.lit, known)))
+    return F.array_except(symbols_used(c), F.array(*map(F.lit, allowed_symbols(p))))
+
+
+def stress_inconsistent(features_: Column, p: Profile) -> Column:
+    """An accented vowel without a prime, or a prime without one, as far as the profile asks for it and has the marks."""
+    prime, accented = features_["prime_count"], features_["accented_vowel_count"]
+    out = F.lit(False)
+    if p.enforce_stress_consistency and p.require_prime and p.prime:
+        out = out | ((accented > 0) & (prime == 0))
+    if p.enforce_stress_consistency and p.require_acute and p.acute_vowels:
+        out = out | ((prime > 0) & (accented == 0))
+    return out
+
+
+def warnings(features_: Column, unknown: Column, p: Profile) -> Column:
+    """Sorted codes of what is odd about a form."""
+    return F.array_compact(
+        F.array(
+            F.when(features_["combining_detached_count"] > 0, "DETACHED_COMBINING_MARK"),
+            F.when(stress_inconsistent(features_, p), "INCONSISTENT_STRESS"),
+            F.when(features_["primary_stress_count"] > 1, "MULTIPLE_PRIMARY_STRESS"),
+            F.when(F.size(unknown) > 0, "UNKNOWN_SYMBOL"),
+        )
+    )
 
 
 def apply_profile(df, source: str, p: Profile):
-    """``df`` with form_display, form_norm, form_render, features, symbols_used and unknown_symbols of a column. The
-    features are those of the display form. Nulls are taken as empty."""
+    """``df`` with form_display, form_norm, form_render, features, symbols_used, unknown_symbols and warnings of a column.
+    The features are those of the display form. Nulls are taken as empty."""
     out = df.withColumns({"form_display": display(F.col(source), p), "form_norm": norm(F.col(source), p)})
     out = out.withColumn("form_render", render(F.col("form_display"), F.col("form_norm"), p))
     named = features(F.col("form_display"), p)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "features": F.struct(*(v.alias(k) for k, v in named.items())),
             "symbols_used": symbols_used(F.col("form_display")),
             "unknown_symbols": unknown_symbols(F.col("form_display"), p),
         }
     )
+    return out.withColumn("warnings", warnings(F.col("features"), F.col("unknown_symbols"), p))

@@ -1,4 +1,5 @@
-"""Text functions as column expressions. Only Unicode normalisation and string similarity run Python, a batch at a time."""
+"""Text functions as column expressions. Only Unicode normalisation, of text that is not ASCII, and string similarity run
+Python, a batch at a time."""
 
 from __future__ import annotations
 
@@ -50,27 +51,42 @@ def regex(pattern: str, ignore_case: bool = False, whole: bool = False, start: b
     return "(?d" + ("iu" if ignore_case else "") + ")" + body
 
 
+def _by_value(text: pd.Series, change) -> pd.Series:
+    """``change`` of each distinct value of a batch; a batch of nulls alone is given back as it is."""
+    known = {t: change(t) for t in text.dropna().unique()}
+    return text.map(known) if known else text
+
+
 @F.pandas_udf(StringType())
 def _normal(text: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form)], dtype=object)
+    return _by_value(text, lambda t: unicodedata.normalize(form.iloc[0], t))
 
 
 @F.pandas_udf(StringType())
 def _bare(text: pd.Series) -> pd.Series:
     drop = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
-    return pd.Series([None if t is None else unicodedata.normalize("NFC", drop(t)) for t in text], dtype=object)
+    return _by_value(text, lambda t: unicodedata.normalize("NFC", drop(t)))
+
 
+# Spark may copy an expression into each filter and projection above it; of a nondeterministic one it keeps one copy, so
+# that a batch goes to Python once.
+_normal, _bare = _normal.asNondeterministic(), _bare.asNondeterministic()
 
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
+def _beyond_ascii(c: Column) -> Column:
+    """Null for ASCII text. A Python function sees every row whatever condition stands around it, so ASCII text, which no
+    form changes, goes as null and is not converted."""
+    return F.when(~F.rlike(c, F.lit(ASCII_ONLY)), c)
+
+
 def normalize_unicode(c: Column, form: str = "NFC") -> Column:
-    """ASCII text, which no form changes, does not leave the JVM."""
-    return F.when(F.rlike(c, F.lit(ASCII_ONLY)), c).otherwise(_normal(c, F.lit(form)))
+    return F.coalesce(_normal(_beyond_ascii(c), F.lit(form)), c)
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.when(F.rlike(c, F.lit(ASCII_ONLY)), c).otherwise(_bare(c))
+    return F.coalesce(_bare(_beyond_ascii(c)), c)
 
 
 def map_chars(c: Column, mapping: dict[str, str]) -> Column:

@@ -149,28 +149,86 @@ def align(a: DataFrame, b: DataFrame, algorithm: str = "mutual_best", threshold:
 
 def alignment_counts(aligned: DataFrame) -> DataFrame:
     m = F.col("method")
-    return aligned.agg(F.count_if(m == "exact").alias("matched_exact"), F.count_if(m == "fuzzy").alias("matched_fuzzy"), F.count_if(m == "none").alias("unmatched"))
+    return aligned.agg(
+        F.count_if((m != "none") | F.col("headword_key").isNotNull()).alias("total_a"),
+        F.count_if((m != "none") | F.col("key_b").isNotNull()).alias("total_b"),
+        F.count_if(m == "exact").alias("matched_exact"),
+        F.count_if(m == "fuzzy").alias("matched_fuzzy"),
+        F.count_if(m == "none").alias("unmatched"),
+    )
+
+
+def aligned_rows(aligned: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """An alignment with what both sides' first entries show: ids, norms, statuses, and why a row has one side only."""
+    side = lambda df, s: df.select(
+        F.col("headword_key").alias(f"_{s}"), F.col("entry_id").alias(f"entry_id_{s}"), effective("headword", df.columns).alias(f"headword_{s}"),
+        F.col("headword_key").alias(f"headword_norm_{s}"), (F.coalesce("status", F.lit("auto")) if "status" in df.columns else F.lit("auto")).alias(f"status_{s}"),
+    )
+    out = aligned.join(side(a, "a"), F.col("headword_key") == F.col("_a"), "left").join(side(b, "b"), F.col("key_b") == F.col("_b"), "left")
+    out = out.withColumns({"headword_key": F.coalesce("headword_key", "key_b"), "reason": F.when(F.col("method") == "none", "no_match").otherwise("")})
+    return out.drop("_a", "_b", "key_b")
+
+
+def alignment_order() -> list[Column]:
+    """Exact pairs first, then by score and key."""
+    return [F.col("method") != "exact", F.desc("score"), F.col("headword_key")]
+
+
+def match_order() -> list[Column]:
+    """Exact matches first, then by score and label; places settle ties."""
+    return [F.col("status") != "exact", F.desc("score"), F.col("label_a"), F.col("entry_id_a"), F.col("entry_id_b")]
+
+
+def feature_object(c: str) -> Column:
+    """A column of JSON objects; what is no object is an empty one."""
+    return F.when(F.rlike(c, F.lit(r"^\s*\{")) & F.try_parse_json(F.col(c)).isNotNull(), F.col(c)).otherwise("{}")
 
 
-def differences(pairs: DataFrame, entries: DataFrame, features: str = "features") -> DataFrame:
-    """Pairs (entry_id_a, entry_id_b) with the differences of their entries' features and forms."""
-    side = lambda s: entries.select(F.col("entry_id").alias(f"entry_id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("form_norm", "form_render", "syllables", features)))
+def diff_text(stem: str, columns: list[str]) -> Column:
+    """pron_norm or pron_render of an entry, or what stands for it."""
+    some = lambda c: T.nonblank(T.strip(F.coalesce(F.col(c), F.lit(""))))
+    if stem == "pron_norm":
+        pron = effective("pron", columns)
+        return F.coalesce(some("pron_norm"), some("form_norm"), F.when(pron != "", T.normalized_key(pron)), F.lit(""))
+    return F.coalesce(some("pron_render"), some("form_display"), F.lit(""))
+
+
+def diff_rows(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs (entry_id_a, entry_id_b, ..) of two entries that are there, with both pronunciations, features as JSON and
+    the differences a - b."""
+    f = feature_object("features_json")
+    number = lambda k: F.coalesce(F.get_json_object(f, f"$.{k}").try_cast("int"), F.lit(0)).alias(k)
+    stress = F.coalesce(F.nullif(F.get_json_object(f, "$.stress_schema"), F.lit("")), F.get_json_object(f, "$.stress"))
+    one = entries.select(
+        "entry_id", diff_text("pron_norm", entries.columns).alias("pron_norm"), diff_text("pron_render", entries.columns).alias("pron_render"), f.alias("features"),
+        F.coalesce("syllables", F.lit(0)).alias("n"), stress.alias("stress"), number("prime_count"), number("accented_vowel_count"),
+    )
+    side = lambda s: one.select(*(F.col(c).alias(f"{c}_{s}") for c in one.columns))
     both = pairs.join(side("a"), "entry_id_a").join(side("b"), "entry_id_b")
-    f = lambda s, k: F.col(f"{features}_{s}")[k]
-    gap = lambda k: f("b", k) - f("a", k)
+    gap = lambda c: F.col(f"{c}_a") - F.col(f"{c}_b")
     return both.withColumns(
         {
-            "syll_count_diff": F.coalesce("syllables_b", F.lit(0)) - F.coalesce("syllables_a", F.lit(0)),
-            "stress_schema_diff": ~f("a", "stress").eqNullSafe(f("b", "stress")),
+            "syll_count_diff": gap("n"),
+            "stress_schema_diff": ~F.col("stress_a").eqNullSafe(F.col("stress_b")),
             "prime_count_diff": gap("prime_count"),
             "accented_vowel_count_diff": gap("accented_vowel_count"),
         }
-    )
+    ).drop("n_a", "n_b", "stress_a", "stress_b", "prime_count_a", "prime_count_b", "accented_vowel_count_a", "accented_vowel_count_b")
+
+
+def diff_counts(rows: DataFrame) -> DataFrame:
+    count = lambda mode: F.count_if(difference_filter(mode)).alias(mode)
+    return rows.agg(F.count(F.lit(1)).alias("total_pairs"), *map(count, ("pron_render_diff", "syll_count_diff", "stress_diff")))
+
+
+def letter_counts(rows: DataFrame, key: str = "headword_key") -> DataFrame:
+    """Rows by the letter of their key."""
+    return rows.groupBy(T.alpha_bucket(F.col(key)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def difference_filter(mode: str) -> Column:
     return {
-        "pron_render_diff": ~F.col("form_render_a").eqNullSafe(F.col("form_render_b")),
+        "pron_render_diff": F.col("pron_render_a") != F.col("pron_render_b"),
         "syll_count_diff": F.col("syll_count_diff") != 0,
         "stress_diff": F.col("stress_schema_diff"),
     }.get(mode, F.lit(True))
@@ -192,12 +250,22 @@ def match_entries(a: DataFrame, b: DataFrame, min_score: float = 80.0) -> DataFr
 
 
 def cluster(matches: DataFrame, labels: DataFrame, min_score: float = 80.0) -> DataFrame:
-    """(group_id, label, entry_id): connected components of matches; the label is the least of the members', the id its
-    hash, so components of one label are one group."""
+    """(group_id, label, entry_id, score, status): connected components of matches; the label is the least of the members',
+    the id its hash, so components of one label are one group. Members have the score 100 and the status auto."""
     parts = components(matches.where(F.col("score") >= min_score), "entry_id_a", "entry_id_b")
     members = parts.join(labels.select(F.col("entry_id").alias("node"), "label"), "node")
     names = members.groupBy("component").agg(F.min("label").alias("label"))
-    return parts.join(names, "component").select(F.sha2("label", 256).alias("group_id"), "label", F.col("node").alias("entry_id"))
+    out = parts.join(names, "component").select(F.sha2("label", 256).alias("group_id"), "label", F.col("node").alias("entry_id"))
+    return out.withColumns({"score": F.lit(100.0), "status": F.lit("auto")})
+
+
+def validated_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (entry_id_a, label_a, entry_id_b, label_b, score) that someone confirmed, as two members of a group each: its
+    label is the lesser in lower case, the score that of the pair."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    out = pairs.withColumn("label", F.least(low("label_a"), low("label_b")))
+    out = out.select(F.sha2("label", 256).alias("group_id"), "label", F.explode(F.array("entry_id_a", "entry_id_b")).alias("entry_id"), "score")
+    return out.withColumn("status", F.lit("validated"))
 
 
 def matrix(members: DataFrame, corpora: list[str], missing: str = "ABSENT") -> DataFrame:

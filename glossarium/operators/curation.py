@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parsing import entry_id
 
 EDITABLE = ("headword_edit", "pron_edit", "definition_edit", "status")
 
 
 def upsert(rows: DataFrame, key: str = "entry_id", order: str = "seq") -> DataFrame:
-    """The last row of each key by ``order``."""
+    """The last row of each key by ``order``: the greatest is kept, an aggregate that combines before the shuffle."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
+def derived(entries: DataFrame) -> DataFrame:
+    """What a store derives when it writes entries: pron_norm and pron_render from the forms, and the letter bucket of the
+    norm, else the edited, else the raw headword."""
+    seed = F.coalesce(T.nonblank(F.col("headword_norm")), T.nonblank(F.col("headword_edit")), F.col("headword_raw"))
+    return entries.withColumns({"pron_norm": F.col("form_norm"), "pron_render": F.col("form_render"), "alpha_bucket": T.alpha_bucket(seed)})
+
+
 def replay(entries: DataFrame, log: DataFrame) -> DataFrame:
     """Entries after the events (event_id, entry_id, op, field, value) of a log, in the order of event_id.
 
@@ -36,6 +44,15 @@ def replay(entries: DataFrame, log: DataFrame) -> DataFrame:
     return out.withColumns(columns).drop(*(f"new_{f}" for f in EDITABLE), "new_deleted")
 
 
+def fill_counts(filled: DataFrame) -> DataFrame:
+    """How many entries fill_pron saw, filled, and left as they had a pronunciation or no headword to take."""
+    head = F.coalesce(T.nonblank(F.col("headword_edit")), T.nonblank(F.col("headword_raw")))
+    return filled.agg(
+        F.count(F.lit(1)).alias("requested"), F.count_if(F.col("filled") & head.isNotNull()).alias("updated"),
+        F.count_if(~F.col("filled")).alias("skipped_has_pron"), F.count_if(F.col("filled") & head.isNull()).alias("skipped_no_headword"),
+    )
+
+
 def undo_last(log: DataFrame) -> DataFrame:
     """The log without each entry's last event."""
     last = log.groupBy("entry_id").agg(F.max("event_id").alias("event_id"))
@@ -60,20 +77,60 @@ def split_entries(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*entries.columns))
 
 
-def merge_entries(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b) as one entry each: headwords joined by a space, definitions by a slash, the least line."""
-    a = entries.select(*(F.col(c).alias(f"a_{c}") for c in entries.columns))
-    b = entries.select(*(F.col(c).alias(f"b_{c}") for c in entries.columns))
-    both = pairs.join(a, F.col("id_a") == F.col("a_entry_id")).join(b, F.col("id_b") == F.col("b_entry_id"))
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return both.select(
-        F.col("a_dict_id").alias("dict_id"),
-        F.least("a_line_no", "b_line_no").alias("line_no"),
-        T.strip(F.concat_ws(" ", text("a_headword_raw"), text("b_headword_raw"))).alias("headword_raw"),
-        T.strip(F.concat_ws(" / ", text("a_definition_raw"), text("b_definition_raw"))).alias("definition_raw"),
-        "id_a",
-        "id_b",
-    )
+def create_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store with entries made by hand (dict_id, headword_raw, ..), and the log of them. A new entry has the corpus'
+    next line, one syllable, part of speech p, and its id by place and headword; blank headwords make none."""
+    last = entries.groupBy("dict_id").agg(F.max("line_no").alias("_last"))
+    rows = new.withColumn("headword_raw", T.strip(F.coalesce("headword_raw", F.lit("")))).where("headword_raw <> ''").join(last, "dict_id", "left")
+    given = lambda c, value: F.coalesce(F.col(c), F.lit(value)) if c in new.columns else F.lit(value)
+    line = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("dict_id").orderBy("headword_raw"))
+    rows = rows.withColumns({"line_no": line.cast("int"), "source_path": given("source_path", "manual"), "syllables": given("syllables", 1), "pos_raw": given("pos_raw", "p")})
+    rows = rows.withColumns({"entry_id": entry_id(*(F.col(c) for c in ("dict_id", "source_path", "line_no", "headword_raw", "pos_raw"))), "manual_created": F.lit(True), "status": F.lit("auto")}).drop("_last")
+    log = rows.select("dict_id", "entry_id", F.lit("CREATE_ENTRY").alias("op"), F.col("headword_raw").alias("value"))
+    columns = [c for c in rows.columns if c in entries.columns]
+    return entries.unionByName(rows.select(*columns), allowMissingColumns=True), log
+
+
+def merge_entries(entries: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store with pairs (id_a, id_b) of a corpus as one entry each, and the log that says which two each was: effective
+    headwords and pronunciations are joined by a space, definitions by a slash; line and page are the lesser, the rest is
+    the first one's. An entry may stand in one pair only."""
+    cols = entries.columns
+    a = entries.select(*(F.col(c).alias(f"a_{c}") for c in cols))
+    b = entries.select(*(F.col(c).alias(f"b_{c}") for c in cols))
+    both = pairs.join(a, F.col("id_a") == F.col("a_entry_id")).join(b, F.col("id_b") == F.col("b_entry_id")).where("a_dict_id = b_dict_id")
+
+    def field(s: str, f: str) -> Column:
+        options = [T.nonblank(F.col(f"{s}_{f}_{k}")) for k in ("edit", "raw") if f"{f}_{k}" in cols]
+        return T.strip(F.coalesce(*options, F.lit("")))
+
+    def joined(f: str, by: str) -> Column:
+        return T.strip(F.concat_ws(by, field("a", f), field("b", f)))
+
+    made = {c: F.col(f"a_{c}") for c in cols} | {f"{f}_edit": F.lit(None).cast("string") for f in ("headword", "pron", "definition") if f"{f}_edit" in cols}
+    made |= {"headword_raw": joined("headword", " "), "line_no": F.least("a_line_no", "b_line_no")}
+    if "pron_raw" in cols:
+        made["pron_raw"] = F.nullif(joined("pron", " "), F.lit(""))
+    if "definition_raw" in cols:
+        made["definition_raw"] = F.nullif(joined("definition", " / "), F.lit(""))
+    if "page" in cols:
+        made["page"] = F.least("a_page", "b_page")
+    made["source_path"] = F.concat("a_source_path", F.lit("+"), "b_source_path", F.lit("#merge"))
+    new = both.select("id_a", "id_b", *(made[c].alias(c) for c in cols))
+    pos = F.col("pos_raw") if "pos_raw" in cols else F.lit("p")
+    new = new.withColumn("entry_id", entry_id(F.col("dict_id"), F.col("source_path"), F.col("line_no"), F.col("headword_raw"), pos))
+    gone = both.select(F.explode(F.array("id_a", "id_b")).alias("entry_id"))
+    log = new.select("entry_id", F.lit("MERGE_ENTRY").alias("op"), F.array("id_a", "id_b").alias("before"))
+    return entries.join(gone, "entry_id", "left_anti").unionByName(new.select(*cols)), log
+
+
+def undo_structural(entries: DataFrame, before: DataFrame, log: DataFrame) -> DataFrame:
+    """The store without what splits and merges of a log (made: ids made, taken: ids taken away) made, and with the entries
+    that they took, as ``before`` had them."""
+    made = log.select(F.explode("made").alias("entry_id")).distinct()
+    taken = log.select(F.explode("taken").alias("entry_id")).distinct()
+    back = before.join(taken, "entry_id", "left_semi")
+    return entries.join(made, "entry_id", "left_anti").unionByName(back.select(*entries.columns))
 
 
 def patch_extra(current: Column, patch: Column) -> Column:

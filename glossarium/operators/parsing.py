@@ -37,6 +37,9 @@ class Preset:
     groups: dict[str, int]
     pos_map: dict[str, str] = field(default_factory=dict)
     origin_map: dict[str, str] = field(default_factory=dict)
+    version: int = 1
+    #: try lines again without trailing marks and spaces
+    allow_extra_trailing: bool = False
 
     def __post_init__(self):
         if "headword" not in self.groups:
@@ -48,16 +51,17 @@ class Preset:
             raise ValueError("a preset names a group that its pattern lacks")
 
 
-def _mapped(c: Column, table: dict[str, str]) -> Column:
-    """By the map as it is, then without regard to case, else unchanged."""
+def _mapped(c: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
+    """By the map as it is, then without regard to case, else ``otherwise`` (null)."""
+    otherwise = F.lit(None).cast("string") if otherwise is None else otherwise
     if not table:
-        return c
+        return otherwise
     exact = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     low: dict[str, str] = {}
     for k, v in table.items():
         low.setdefault(k.lower(), v)
     loose = F.create_map(*(F.lit(x) for kv in low.items() for x in kv))
-    return F.coalesce(F.try_element_at(exact, c), F.try_element_at(loose, F.lower(c)), c)
+    return F.coalesce(F.try_element_at(exact, c), F.try_element_at(loose, F.lower(c)), otherwise)
 
 
 def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_path") -> DataFrame:
@@ -71,7 +75,14 @@ def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_
     kind = F.when((line == "") | line.startswith("#"), "blank").when(F.rlike(line, F.lit(SECTION)), "section").when(F.rlike(line, F.lit(PAGE)), "page")
     if preset:
         form = T.regex(preset.pattern, start=True)
-        kind = kind.when(F.rlike(line, F.lit(form)), "preset")
+        bare = F.regexp_replace(line, f"[{T.WS}]+$", "")
+        bare = F.rtrim(bare, F.lit(" .;:,")) if preset.allow_extra_trailing else line
+        fit = F.when(F.rlike(line, F.lit(form)), line).when(F.rlike(bare, F.lit(form)), bare)
+        if "syllables" in preset.groups:  # a number that is none is no match
+            number = T.strip(F.regexp_extract(fit, form, preset.groups["syllables"])).try_cast("int")
+            fit = F.when(number.isNotNull(), fit)
+        out = out.withColumn("fit", fit)
+        kind = kind.when(F.col("fit").isNotNull(), "preset")
     out = out.withColumn("kind", kind.when(F.rlike(line, F.lit(ENTRY)), "entry").otherwise("other"))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     section = F.coalesce(F.last(F.when(F.col("kind") == "section", section_name(line)), ignorenulls=True).over(w), F.lit(""))
@@ -79,30 +90,21 @@ def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_
 
     def part(name: str, group: int) -> Column:
         fixed = F.when(F.col("kind") == "entry", T.strip(F.regexp_extract(line, ENTRY, group)))
-        if not preset:
+        if not preset or name not in preset.groups:
             return fixed
-        if name not in preset.groups:
-            return fixed
-        return F.when(is_preset, T.strip(F.regexp_extract(line, form, preset.groups[name]))).otherwise(fixed)
+        return F.when(is_preset, T.strip(F.regexp_extract("fit", form, preset.groups[name]))).otherwise(fixed)
 
-    extra = {}
+    head, pos = part("headword", 2), part("pos", 3)
+    fields = {"section": section, "syllables": part("syllables", 1).try_cast("int"), "headword_raw": head, "pos_raw": pos}
     if preset:
-        for name in ("origin", "pron"):
-            if name in preset.groups:
-                extra[f"{name}_raw"] = F.when(is_preset, F.nullif(T.strip(F.regexp_extract(line, form, preset.groups[name])), F.lit("")))
-        if "origin_raw" in extra:
-            extra["origin_norm"] = _mapped(extra["origin_raw"], preset.origin_map)
-    pos = part("pos", 3)
-    return out.withColumns(
-        {
-            "section": section,
-            "syllables": part("syllables", 1).try_cast("int"),
-            "headword_raw": part("headword", 2),
-            "pos_raw": pos,
-            "pos_norm": _mapped(pos, preset.pos_map) if preset else pos,
-            **extra,
-        }
-    )
+        none = F.lit(None).cast("string")
+        given = lambda name: F.when(is_preset, F.nullif(part(name, 0), F.lit(""))) if name in preset.groups else none
+        fields |= {"pos_norm": F.when(is_preset, _mapped(pos, preset.pos_map)), "origin_raw": given("origin")}
+        fields["origin_norm"] = _mapped(fields["origin_raw"], preset.origin_map)
+        fields["pron_raw"] = F.when(is_preset, F.coalesce(given("pron"), head))
+        fields["parser_id"] = F.when(is_preset, preset.parser_id)
+        return out.withColumns(fields).drop("fit")
+    return out.withColumns(fields | {"pos_norm": pos})
 
 
 def parsed_entries(classified: DataFrame) -> DataFrame:

@@ -107,6 +107,11 @@ def csv_mapping(records: DataFrame, headword: str, pron: str | None = None, defi
     return emit(records, F.when(F.size(heads) > 0, rows).otherwise(F.array(_bad("EMPTY_HEADWORD"))))
 
 
+def csv_columns(records: DataFrame, row: str = "csv_row") -> DataFrame:
+    """The names that any record's row has, sorted."""
+    return records.select(F.explode(F.map_keys(row)).alias("column")).distinct().orderBy("column")
+
+
 def summarize(drafts: DataFrame, *keys: str) -> DataFrame:
     return drafts.groupBy(*keys).agg(
         F.count_if(F.col("status") == "OK").alias("ok"),
@@ -115,26 +120,30 @@ def summarize(drafts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def recommend(records: DataFrame, text: str = "raw") -> DataFrame:
-    """A score for each way of reading the records, the best first: 20 a record read, 1 an entry, less for records not
-    read, tokens ignored and more than three entries a record."""
-    runs = [
-        ("three_columns", 6, three_columns(records, text)),
-        ("headword_pron_tab", 5, headword_pron(records, text, "tab")),
-        ("headword_pron_spaces", 4, headword_pron(records, text, "multi_spaces")),
-        ("entry_definition_comma", 3, entry_definition(records, text, "comma")),
-        ("entry_definition_semicolon", 2, entry_definition(records, text, "semicolon")),
-        ("wordlist", 1, wordlist(records, text)),
-    ]
-    keys = [c for c in records.columns if c not in ("raw", text)]
+# The ways of reading records that are tried, with their priorities.
+CANDIDATES = (
+    ("three_columns", "auto", 90), ("three_columns", "triple_spaces", 80), ("three_columns", "tab", 70), ("headword_pron", "multi_spaces", 50),
+    ("headword_pron", "tab", 40), ("entry_definition", "comma", 30), ("entry_definition", "double_space", 20),
+)
+
+
+def recommend(records: DataFrame, text: str = "raw", key: str = "record_key") -> DataFrame:
+    """A score for each way of reading the records, the best first: 20 for a record read, 1 for an entry, less for records
+    not read or ignored and for more than three entries a record; then the priority. The first of equals is the best."""
+    runs = {"three_columns": three_columns, "headword_pron": headword_pron, "entry_definition": entry_definition}
     all_ = None
-    for name, priority, run in runs:
-        per = summarize(run, *keys).select(F.lit(name).alias("template"), F.lit(priority).alias("priority"), "ok", "unrecognized", "ignored")
-        all_ = per if all_ is None else all_.unionByName(per)
-    n = F.count(F.lit(1))
-    score = 20 * F.count_if(F.col("ok") > 0) + F.sum("ok") - 10 * F.sum("unrecognized") - 4 * F.sum("ignored")
-    score = score - F.greatest(F.lit(0), F.sum("ok") - 3 * n) + F.col("priority")
-    return all_.groupBy("template", "priority").agg(score.alias("score"), F.sum("ok").alias("entries")).orderBy(F.desc("score"), F.desc("priority"))
+    for place, (name, separator, priority) in enumerate(CANDIDATES):
+        more = {"trim": True} if name == "headword_pron" else {}
+        run = runs[name](records, text, separator, **more).select(F.col(key).alias("k"), "status")
+        run = run.select(F.lit(place).alias("place"), F.lit(name).alias("template"), F.lit(separator).alias("separator"), F.lit(priority).alias("priority"), "k", "status")
+        all_ = run if all_ is None else all_.unionByName(run)
+    per = all_.groupBy("place", "template", "separator", "priority", "k").agg(
+        F.count_if(F.col("status") == "OK").alias("entries"), F.count_if(F.col("status") == "UNRECOGNIZED").alias("u"), F.count_if(F.col("status") == "IGNORED").alias("i")
+    )
+    count = lambda c: F.count_if(F.col(c) > 0)
+    score = count("entries") * 20 + F.sum("entries") - count("u") * 10 - count("i") * 4 - F.greatest(F.lit(0), F.sum("entries") - 3 * F.count(F.lit(1)))
+    out = per.groupBy("place", "template", "separator", "priority").agg((score + F.first("priority")).alias("score"), count("entries").alias("ok_records"), F.sum("entries").alias("entries"), count("u").alias("unrecognized"))
+    return out.orderBy(F.desc("score"), "place").drop("priority")
 
 
 def record_key(source_id: Column, index: Column, text: Column) -> Column:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import profiles
 from ..functions import text as T
 from ..operators import compare, curation, filters, graph, listing, parsing, templates
-from ..session import ship, table
+from ..session import table
 from ..sources import readers, sinks
 from . import testbed as tb
-
-QUERIES, ORACLE_SQL = {}, {}
+from .registry import query
 
 # Pieces of SQL. DuckDB's patterns need their own spelling of the same white space.
 _WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -52,20 +51,6 @@ classified AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM kinds)"""
 
 
-def query(name: str, sql: str | None = None):
-    def put(f):
-        def run(spark, sf_dir: str):
-            ship(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
-
 # ---- sources and sinks
 
 
@@ -84,11 +69,14 @@ def _s6(spark, d):
     return readers.merge_lines(tb.raw_lines(spark, d))
 
 
-@query("s7_page_lines")
+@query("s7_page_lines", f"""WITH w AS (SELECT conv_id AS page, turn, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS k FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS p FROM conversations)),
+  v AS (SELECT page, k % 8 * 40.0 + CASE WHEN k % 8 > 3 THEN 120 ELSE 0 END AS x0, turn * 100.0 + (k // 8) * 10.0 AS top, {_STRIP('text')} AS text FROM w WHERE {_STRIP('text')} <> ''),
+  c AS (SELECT page, CASE WHEN count(DISTINCT x0) BETWEEN 2 AND 4 THEN 20.0 ELSE 200.0 END AS cut FROM v GROUP BY 1)
+  SELECT page, (x0 >= cut)::INT AS col, dense_rank() OVER (PARTITION BY page, x0 >= cut ORDER BY top)::INT AS line_no, string_agg(text, ' ' ORDER BY x0, text) AS text FROM v JOIN c USING (page) GROUP BY page, x0 >= cut, top""")
 def _s7(spark, d):
     c = table(spark, d, "conversations")
     words = c.select(F.col("conv_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("k", "text"), "turn")
-    return readers.page_lines(words.select("page", (F.col("k") % 8 * 40.0 + F.when(F.col("k") % 8 > 3, 120.0).otherwise(0.0)).alias("x0"), (F.col("turn") * 100.0 + F.floor(F.col("k") / 8) * 10.0).alias("top"), "text"), 2)
+    return readers.page_lines(words.select("page", (F.col("k") % 8 * 40.0 + F.when(F.col("k") % 8 > 3, 120.0).otherwise(0.0)).alias("x0"), (F.col("turn") * 100.0 + F.floor(F.col("k") / 8) * 10.0).alias("top"), "text"), 2, width=400.0)
 
 
 @query("s11_entry_files", "SELECT trim(p_name) AS headword_raw, 'v' AS pos_raw, CASE WHEN p_size > 0 THEN p_size ELSE 1 END::INT AS syllables, coalesce(nullif(p_brand, ''), p_name) AS pron_raw FROM part WHERE trim(p_name) <> ''")
@@ -103,10 +91,13 @@ def _k1(spark, d):
     return curation.upsert(e, "user_id", "event_id").select("user_id", "event_type", "value")
 
 
-@query("k3_export_payload", f"{_ALL} SELECT entry_id, CASE WHEN line_no % 3 = 0 THEN upper(headword_raw) ELSE headword_raw END AS headword_effective, CASE WHEN line_no % 3 = 0 THEN upper(headword_raw) ELSE lower(headword_raw) END AS form_display_effective, CASE WHEN line_no % 3 = 0 THEN lower(upper(headword_raw)) ELSE lower(headword_raw) END AS form_norm_effective FROM entries WHERE dict_id <> 'de'")
+_UP = "upper(replace(headword_raw, 'ß', 'SS'))"  # as Spark has it
+
+
+@query("k3_export_payload", f"{_ALL} SELECT entry_id, CASE WHEN line_no % 3 = 0 THEN {_UP} ELSE headword_raw END AS headword_effective, CASE WHEN line_no % 3 = 0 AND {_UP} <> headword_raw THEN {_UP} ELSE lower(headword_raw) END AS form_display_effective, CASE WHEN line_no % 3 = 0 AND {_UP} <> headword_raw THEN lower({_UP}) ELSE lower(headword_raw) END AS form_norm_effective FROM entries")
 def _k3(spark, d):
     none = F.lit(None).cast("string")
-    e = tb.entries(spark, d).where("dict_id <> 'de'").withColumns({
+    e = tb.entries(spark, d).withColumns({
         "headword_edit": F.when(F.col("line_no") % 3 == 0, F.upper("headword_raw")).otherwise(F.lit(" ")), "pron_edit": none, "pron_raw": none,
         "definition_edit": none, "definition_raw": none, "form_display": F.lower("headword_raw"), "form_norm": F.lit(""),
     })
@@ -195,7 +186,7 @@ def _x1(spark, d):
     return parsing.classify(tb.part_lines(spark, d)).select("source_path", "line_no", "kind", "section", "syllables", "headword_raw", "pos_raw")
 
 
-@query("x3_preset", r"SELECT p_partkey::INT AS line_no, p_size AS syllables, p_name AS headword_raw, CASE WHEN p_brand = 'Brand#11' THEN 'first' WHEN lower(p_brand) = 'brand#12' THEN 'second' ELSE p_brand END AS pos_norm FROM part")
+@query("x3_preset", r"SELECT p_partkey::INT AS line_no, p_size AS syllables, p_name AS headword_raw, CASE WHEN p_brand = 'Brand#11' THEN 'first' WHEN lower(p_brand) = 'brand#12' THEN 'second' END AS pos_norm FROM part")
 def _x3(spark, d):
     p = table(spark, d, "part")
     lines = p.select(F.lit("part").alias("source_path"), F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" : "), F.col("p_brand")).alias("raw"))
@@ -243,9 +234,14 @@ def _x13(spark, d):
     return templates.apply_overrides(drafts, over).select(F.col("record_key").alias("k"), "headword", "reason")
 
 
-@query("x15_recommend")
+@query("x15_recommend", """WITH c AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 2 = 0) AS e, count(*) FILTER (p_partkey % 2 = 1) AS o FROM part),
+  k(place, template, separator, ok, priority) AS (VALUES (0, 'three_columns', 'auto', 'e', 90), (1, 'three_columns', 'triple_spaces', '', 80), (2, 'three_columns', 'tab', 'e', 70),
+    (3, 'headword_pron', 'multi_spaces', '', 50), (4, 'headword_pron', 'tab', 'e', 40), (5, 'entry_definition', 'comma', 'o', 30), (6, 'entry_definition', 'double_space', '', 20)),
+  r AS (SELECT *, CASE ok WHEN 'e' THEN e WHEN 'o' THEN o ELSE 0 END AS ok_records FROM k, c)
+  SELECT place, template, separator, 21 * ok_records - 10 * (n - ok_records) + priority AS score, ok_records, ok_records AS entries, n - ok_records AS unrecognized FROM r""")
 def _x15(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws("\t", "p_name", "p_type", "p_brand").alias("raw"))
+    even, odd = F.concat_ws("\t", "p_name", "p_type", "p_brand"), F.concat_ws(", ", "p_name", "p_type")
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("record_key"), F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd).alias("raw"))
     return templates.recommend(p)
 
 
@@ -254,15 +250,15 @@ def _x15(spark, d):
 _PROFILE = profiles.Profile(remove_punctuation=True, paren_accents=True, acute_vowels="áéíóú", stress_marks=("é", "ó"), rules=(({"contains_any": "éó"}, {"stress_schema": "marked"}), ({"pattern": "^[a-z]+$"}, {"stress_schema": "plain"})))
 
 
-@query("u8_norm", rf"{_ALL} SELECT entry_id, nfc_normalize(headword_raw) AS form_display, {_SQUEEZE(rf"regexp_replace(lower(strip_accents(translate(replace(headword_raw, 'ſ', 's'), '''’ʼ`´', 'ʹʹʹʹʹ'))), '[^{_WS}\p{{L}}\p{{N}}\p{{M}}-]', ' ', 'g')")} AS form_norm FROM entries WHERE NOT regexp_matches(headword_raw, '[''’ʼ`´]')")
+@query("u8_norm", rf"{_ALL} SELECT entry_id, translate(nfc_normalize(headword_raw), '''’ʼ`´', 'ʹʹʹʹʹ') AS form_display, {_SQUEEZE(rf"regexp_replace(lower(strip_accents(translate(replace(headword_raw, 'ſ', 's'), '''’ʼ`´', 'ʹʹʹʹʹ'))), '[^{_WS}\p{{L}}\p{{N}}\p{{M}}-]', ' ', 'g')")} AS form_norm FROM entries")
 def _u8(spark, d):
-    e = tb.entries(spark, d).where(~F.rlike("headword_raw", F.lit("['’ʼ`´]")))
+    e = tb.entries(spark, d)
     return profiles.apply_profile(e, "headword_raw", _PROFILE).select("entry_id", "form_display", "form_norm")
 
 
-@query("u17_features", rf"{_ALL} SELECT entry_id, length(headword_raw) - length(translate(nfc_normalize(headword_raw), 'áéíóú', '')) AS accented_vowel_count, CASE WHEN regexp_matches(headword_raw, '[éó]') THEN 'primary' ELSE 'none' END AS stress, CASE WHEN regexp_matches(headword_raw, '^[a-z]+$') THEN 'plain' WHEN regexp_matches(headword_raw, '[éó]') THEN 'marked' END AS stress_schema FROM entries WHERE NOT regexp_matches(headword_raw, '[''’ʼ`´]')")
+@query("u17_features", rf"{_ALL} SELECT entry_id, length(headword_raw) - length(translate(nfc_normalize(headword_raw), 'áéíóú', '')) AS accented_vowel_count, CASE WHEN regexp_matches(headword_raw, '[éó]') THEN 'primary' ELSE 'none' END AS stress, CASE WHEN regexp_matches(headword_raw, '^[a-z]+$') THEN 'plain' WHEN regexp_matches(headword_raw, '[éó]') THEN 'marked' END AS stress_schema FROM entries")
 def _u17(spark, d):
-    e = tb.entries(spark, d).where(~F.rlike("headword_raw", F.lit("['’ʼ`´]")))
+    e = tb.entries(spark, d)
     f = profiles.apply_profile(e, "headword_raw", _PROFILE)
     return f.select("entry_id", F.col("features.accented_vowel_count").cast("long").alias("accented_vowel_count"), "features.stress", "features.stress_schema")
 
@@ -367,14 +363,42 @@ def _j3(spark, d):
     return out.select("headword_key", "key_b", F.round("score", 6).alias("score"), "method")
 
 
-@query("j2_align_greedy")
+_GREEDY = f"""WITH {_LCS}, scored AS (SELECT a, b, (1.0 - (length(a) + length(b) - 2 * list_last(r)) / (length(a) + length(b))) * 100.0 AS score FROM d WHERE i = length(a)),
+good AS (SELECT * FROM scored WHERE score >= 85), turn AS (SELECT a, row_number() OVER (ORDER BY a) AS n, list(b ORDER BY score DESC, b) AS bs, list(score ORDER BY score DESC, b) AS ss FROM good GROUP BY a),
+walk AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS score, []::VARCHAR[] AS taken
+  UNION ALL SELECT n, a, list_filter(bs, lambda x: NOT list_contains(taken, x))[1], ss[list_position(bs, list_filter(bs, lambda x: NOT list_contains(taken, x))[1])],
+    list_concat(taken, list_filter(bs, lambda x: NOT list_contains(taken, x))[:1]) FROM (SELECT t.*, w.taken FROM walk w JOIN turn t ON t.n = w.n + 1)),
+pairs AS (SELECT a, b, score FROM walk WHERE b IS NOT NULL),
+exact AS (SELECT a FROM ka SEMI JOIN kb ON a = b)
+SELECT a AS headword_key, a AS key_b, 100.0::DOUBLE AS score, 'exact' AS method FROM exact
+UNION ALL SELECT a, b, round(score, 6), 'fuzzy' FROM pairs
+UNION ALL SELECT a, NULL, 0, 'none' FROM ka WHERE a NOT IN (SELECT a FROM exact) AND a NOT IN (SELECT a FROM pairs)
+UNION ALL SELECT NULL, b, 0, 'none' FROM kb WHERE b NOT IN (SELECT a FROM exact) AND b NOT IN (SELECT b FROM pairs)"""
+
+
+@query("j2_align_greedy", _GREEDY)
 def _j2(spark, d):
     a, b = _part_keys(spark, d)
     out = compare.align(a, b, "greedy", 85.0)
     return out.select("headword_key", "key_b", F.round("score", 6).alias("score"), "method")
 
 
-@query("j6_match")
+_MATCH = """WITH RECURSIVE eb AS (SELECT 'b' || p_partkey AS id, p_partkey AS line_no, CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) ELSE lower(replace(p_name, 'a', 'o')) END AS f FROM part),
+ka AS (SELECT DISTINCT lower(p_name) AS a FROM part WHERE lower(p_name) NOT IN (SELECT f FROM eb)), kb AS (SELECT f AS b, arg_min(id, (line_no, id)) AS first_id FROM eb GROUP BY f),
+p AS (SELECT a, b FROM ka, kb WHERE 200.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 90),
+d AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda i: 0::BIGINT) AS r FROM p
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])),
+    lambda q, j: list_append(q, CASE WHEN substr(b, j[1], 1) = substr(a, i + 1, 1) THEN r[j[1]] + 1 ELSE greatest(r[j[1] + 1], q[j[1]]) END))
+  FROM d WHERE i < length(a)),
+scored AS (SELECT a, b, (1.0 - (length(a) + length(b) - 2 * list_last(r)) / (length(a) + length(b))) * 100.0 AS score FROM d WHERE i = length(a)),
+best AS (SELECT a, b, score FROM scored WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+SELECT p_partkey::VARCHAR AS entry_id_a, eb.id AS entry_id_b, 100.0::DOUBLE AS score, 'exact' AS status FROM part JOIN eb ON f = lower(p_name)
+UNION ALL SELECT p_partkey::VARCHAR, first_id, round(score, 6), 'fuzzy' FROM part JOIN best ON a = lower(p_name) JOIN kb USING (b)"""
+
+
+@query("j6_match", _MATCH)
 def _j6(spark, d):
     p = table(spark, d, "part")
     a = p.select(F.col("p_partkey").cast("string").alias("entry_id"), F.lower("p_name").alias("form_norm"))
@@ -447,9 +471,13 @@ def _m5(spark, d):
     return curation.split_entries(e, parts).select("line_no", "headword_raw")
 
 
-@query("m6_merge", "SELECT least(a.c_custkey, b.c_custkey) AS line_no, a.c_name || ' ' || b.c_name AS headword_raw, trim(a.c_mktsegment || ' / ' || b.c_mktsegment) AS definition_raw FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 2 = 1")
+@query("m6_merge", """WITH e AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE (c_custkey % 40)::INT END AS page, c_custkey + 1 - 2 * (c_custkey % 2) AS other FROM customer)
+  SELECT least(a.c_custkey, b.c_custkey) AS line_no, a.c_name || ' ' || b.c_name AS headword_raw, trim(a.c_mktsegment || ' / ' || b.c_mktsegment) AS definition_raw, least(a.page, b.page) AS page, 'f' || a.c_nationkey || '+f' || b.c_nationkey || '#merge' AS source_path
+  FROM e a JOIN e b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 2 = 1
+  UNION ALL SELECT c_custkey, c_name, c_mktsegment, page, 'f' || c_nationkey FROM e WHERE NOT (c_custkey % 2 = 1 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)) AND NOT (c_custkey % 2 = 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer))""")
 def _m6(spark, d):
     c = table(spark, d, "customer")
-    e = c.select(F.lit("c").alias("dict_id"), F.col("c_custkey").alias("line_no"), F.col("c_name").alias("headword_raw"), F.col("c_mktsegment").alias("definition_raw"), F.col("c_custkey").alias("entry_id"))
-    pairs = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id_a"), (F.col("c_custkey") + 1).alias("id_b"))
-    return curation.merge_entries(e, pairs).select("line_no", "headword_raw", "definition_raw")
+    page = F.when(F.col("c_custkey") % 3 == 0, None).otherwise((F.col("c_custkey") % 40).cast("int")).alias("page")
+    e = c.select(F.lit("c").alias("dict_id"), F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("source_path"), F.col("c_custkey").alias("line_no"), F.col("c_name").alias("headword_raw"), F.col("c_mktsegment").alias("definition_raw"), page, F.col("c_custkey").cast("string").alias("entry_id"))
+    pairs = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").cast("string").alias("id_a"), (F.col("c_custkey") + 1).cast("string").alias("id_b"))
+    return curation.merge_entries(e, pairs)[0].select("line_no", "headword_raw", "definition_raw", "page", "source_path")

@@ -39,3 +39,51 @@ def part_lines(spark, sf_dir: str) -> DataFrame:
     entry = F.concat((k % 12).cast("string"), F.lit(" "), F.lower("p_name"), F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit(", ")), pos)
     line = F.when(k % 100 == 1, F.upper(F.substring(F.regexp_replace("p_name", "[^A-Za-z]", ""), 1, 2))).when(k % 97 == 0, k.cast("string")).otherwise(entry)
     return p.select(F.concat(F.lit("part/"), "p_brand").alias("source_path"), k.cast("int").alias("line_no"), line.alias("raw"))
+
+
+def store(spark, sf_dir: str) -> DataFrame:
+    """Parts as the entries of a store: three corpora, edits, missing and malformed values here and there."""
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    every = lambda n, value, other=None: F.when(k % n == 0, value).otherwise(other)
+    features = F.concat(
+        F.lit('{"prime_count":'), (k % 3).cast("string"), F.lit(',"accented_vowel_count":'), (k % 4).cast("string"), F.lit(',"stress":"'), every(2, "primary", "none"), F.lit('"}')
+    )
+    return table(spark, sf_dir, "part").select(
+        k.cast("string").alias("entry_id"),
+        F.concat(F.lit("d"), (k % 3).cast("string")).alias("dict_id"),
+        F.col("p_brand").alias("section"),
+        F.concat(F.lit("part/"), "p_brand").alias("source_path"),
+        k.cast("int").alias("line_no"),
+        (F.col("p_size") % 12).alias("syllables"),
+        name.alias("headword_raw"),
+        every(5, F.upper(name), F.when(k % 5 == 1, " ")).alias("headword_edit"),
+        F.element_at(F.array(*map(F.lit, ("a", "v", "p", "s", "x"))), (k % 5 + 1).cast("int")).alias("pos_raw"),
+        F.when(k % 4 != 0, kind).alias("pron_raw"),
+        every(7, F.lower(kind)).alias("pron_edit"),
+        F.col("p_brand").alias("definition_raw"),
+        F.lit(None).cast("string").alias("definition_edit"),
+        every(3, name).alias("form_display"),
+        every(2, F.lower(name), "").alias("form_norm"),
+        every(8, F.lower(name)).alias("headword_norm"),
+        every(6, F.lower(kind)).alias("pron_norm"),
+        every(9, kind).alias("pron_render"),
+        F.when(k % 13 == 0, "{bad").when(k % 13 == 1, "[1]").otherwise(features).alias("features_json"),
+        F.when(k % 4 == 1, "reviewed").when(k % 4 == 2, "validated").otherwise("auto").alias("status"),
+        (k % 11 == 0).alias("is_deleted"),
+        (k % 10 == 0).alias("manual_created"),
+        F.when(k % 3 != 0, (k % 50).cast("int")).alias("page"),
+        every(17, " ", F.upper(F.substring(name, 1, 1))).alias("alpha_bucket"),
+    )
+
+
+def marked(spark, sf_dir: str) -> DataFrame:
+    """The store with headwords that bear accents, primes, marks and odd signs, as profiles look at them."""
+    k, name = F.col("line_no"), F.col("headword_raw")
+    text = F.when(k % 5 == 0, F.replace(name, F.lit("e"), F.lit("é"))).when(k % 5 == 1, F.concat(name, F.lit("'"))).when(k % 5 == 2, F.concat(F.lit("́"), name)).when(k % 5 == 3, F.concat(name, F.lit("☃%"))).otherwise(name)
+    return store(spark, sf_dir).withColumns({"headword_raw": text, "headword_edit": F.lit(None).cast("string"), "pron_raw": F.when(k % 4 == 0, name), "pron_edit": F.lit(None).cast("string")})
+
+
+def all_issues(spark, sf_dir: str) -> DataFrame:
+    """Line issues of the parts' dictionary lines, as those of corpora by line number."""
+    i = parsing.line_issues(parsing.classify(part_lines(spark, sf_dir)))
+    return i.withColumn("dict_id", F.concat(F.lit("d"), (F.col("line_no") % 3).cast("string")))

@@ -83,27 +83,123 @@ def with_pages(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return lines.join(pages.join(ok, "source_path", "left_semi"), ["source_path", "line_no"], "left")
 
 
-def page_lines(words: DataFrame, columns: int = 1, tolerance: float = 2.5) -> DataFrame:
-    """page, col, line_no and text of words (page, x0, top, text): columns are cut at the widest gaps between the words'
-    left edges, words within ``tolerance`` of a line's first word are on that line."""
+def page_lines(words: DataFrame, columns: int = 1, tolerance: float = 2.5, width: float | None = None) -> DataFrame:
+    """page, col, line_no and text of words (page, x0, top, text; with ``width`` a page's width): columns are cut in the
+    middle of the widest gaps between the words' left edges, of equal gaps the left one; a page with too few edges or gaps
+    has columns of equal width. Words within ``tolerance`` of a line's first word are on that line. Blank words are none."""
     if columns not in (1, 2, 3):
         raise ValueError("columns must be 1, 2 or 3")
+    words = words.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''")
     edges = words.select("page", "x0").distinct()
-    gap = F.col("x0") - F.lag("x0").over(Window.partitionBy("page").orderBy("x0"))
-    gaps = edges.withColumn("gap", gap).where("gap > 0")
-    rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("gap"), "x0"))
-    cuts = gaps.withColumn("r", rank).where(F.col("r") < columns).groupBy("page").agg(F.collect_list(F.col("x0")).alias("cuts"))
-    placed = words.join(cuts, "page", "left").withColumn("col", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c <= F.col("x0"))))
+    before = F.lag("x0").over(Window.partitionBy("page").orderBy("x0"))
+    gaps = edges.withColumn("before", before).where("before is not null")
+    # at most two cuts a page are kept, so the widest gaps are a bounded aggregate, not a sort of all
+    widest = F.slice(F.array_sort(F.collect_list(F.struct((F.col("before") - F.col("x0")).alias("d"), "x0", ((F.col("x0") + F.col("before")) / 2).alias("cut")))), F.lit(1), F.lit(columns - 1))
+    per = gaps.groupBy("page").agg(widest.alias("w"))
+    equal = F.lit(float(width or 0)) if width else F.col("most")
+    sizes = words.groupBy("page").agg(F.max("x0").alias("most"))
+    even = F.array(*(equal * k / columns for k in range(1, columns))) if columns > 1 else F.array().cast("array<double>")
+    cuts = sizes.join(per, "page", "left").select("page", F.when(F.size("w") >= columns - 1, F.transform("w", lambda g: g["cut"])).otherwise(even).alias("cuts"))
+    placed = words.join(cuts, "page").withColumn("col", F.size(F.filter("cuts", lambda c: c <= F.col("x0"))))
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"])
+        pdf = pdf.sort_values(["top", "x0", "text"])
         at, line, number = None, 0, []
         for top in pdf.top:
             if at is None or top - at > tolerance:
                 at, line = top, line + 1
             number.append(line)
-        pdf = pdf.assign(line_no=number).sort_values(["line_no", "x0"])
+        pdf = pdf.assign(line_no=number).sort_values(["line_no", "x0", "text"])
         out = pdf.groupby("line_no").text.agg(" ".join).reset_index()
         return out.assign(page=pdf.page.iloc[0], col=pdf.col.iloc[0])[["page", "col", "line_no", "text"]]
 
     return placed.select("page", "col", "x0", "top", "text").groupBy("page", "col").applyInPandas(rows, "page long, col int, line_no int, text string")
+
+
+def page_stats(lines: DataFrame, least: int = 4) -> DataFrame:
+    """One row over lines (page, text): pages, pages with ``least`` characters or more, characters that are no white space,
+    and a code where no page has text."""
+    chars = F.length(F.regexp_replace("text", f"[{T.WS}]+", ""))
+    per = lines.groupBy("page").agg(F.sum(chars).alias("chars"))
+    out = per.agg(F.count(F.lit(1)).alias("pages_total"), F.count_if(F.col("chars") >= least).alias("pages_with_text"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    return out.withColumn("code", F.when(F.col("pages_with_text") == 0, "PDF_NO_TEXT_LAYER"))
+
+
+def page_text(lines: DataFrame, source_path: str) -> DataFrame:
+    """Lines (page, col, line_no, text) of a document as its text file has them, numbered over all pages in reading order,
+    with the page of each: raw text and sidecar in one table. Pages are numbered by counts before them, without a sort of
+    all lines in one task."""
+    keyed = lines.withColumn("at", F.struct("page", "col", "line_no"))
+    return numbered(keyed, "at").select(F.lit(source_path).alias("source_path"), F.col("n").cast("int").alias("line_no"), F.col("text").alias("raw"), "page")
+
+
+def lexicon(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Distinct tokens of a word list, lower case; blank lines and those after # are none."""
+    return lines.select(F.lower(T.strip(F.coalesce(raw, F.lit("")))).alias("token")).where("token <> '' and not startswith(token, '#')").distinct()
+
+
+def csv_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """Records of CSV files below a folder: source_path, record_no from 2, raw (the first six ``k=v``) and csv_row, all
+    values as text, quoted line ends kept. A file is read as a whole, as records may span lines; its columns are its own."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+    def parse(frames):
+        import csv
+        import io
+
+        for f in frames:
+            for p, content in zip(f.path, f.content):
+                rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
+                out = [({k: v or "" for k, v in r.items() if k is not None}, n) for n, r in enumerate(rows, 2)]
+                yield pd.DataFrame({"source_path": p, "record_no": [n for _, n in out], "csv_row": [r for r, _ in out], "raw": [" | ".join(f"{k}={v}" for k, v in list(r.items())[:6]) for r, _ in out]})
+
+    return files.select("path", "content").mapInPandas(parse, "source_path string, record_no int, csv_row map<string,string>, raw string")
+
+
+def copy_import(spark: SparkSession, path: str, to: str, glob: str = "*") -> list[str]:
+    """Copies of a folder's files under names by their content, as an import keeps them; a name that is there is not
+    written again. The driver copies, file by file, through Spark's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, out = jvm.org.apache.hadoop.fs.Path(to), []
+    fs = target.getFileSystem(conf)
+    for r in file_digests(spark, path, glob).orderBy("path").toLocalIterator():
+        source, goal = jvm.org.apache.hadoop.fs.Path(r["path"]), jvm.org.apache.hadoop.fs.Path(f"{to}/{r['stored_name']}")
+        if not fs.exists(goal):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, goal, False, conf)
+        out.append(goal.toString())
+    return out
+
+
+def zip_members(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files of a folder, and the members of those that are zip archives: path, member (null for a plain file), sha256 of
+    what it holds, and content. What an archive is, its first bytes say, not its name; members that would leave the folder
+    are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+
+    def members(frames):
+        import hashlib
+        import io
+        import zipfile
+
+        for f in frames:
+            for p, content in zip(f.path, f.content):
+                rows = [(p, None, content)]
+                if zipfile.is_zipfile(io.BytesIO(content)):
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows = [(p, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.filename.startswith("/") and ".." not in i.filename.split("/")]
+                yield pd.DataFrame([(a, b, hashlib.sha256(c).hexdigest(), c) for a, b, c in rows], columns=["path", "member", "sha256", "content"])
+
+    return files.select("path", "content").mapInPandas(members, "path string, member string, sha256 string, content binary")
+
+
+# The suffixes of what can be dropped on an import.
+DROPPED = {"zip": ("zip",), "pdf": ("pdf",), "image": ("tif", "tiff", "png", "jpg", "jpeg"), "text": ("txt",), "csv": ("csv",)}
+
+
+def dropped_paths(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Distinct paths with their class by suffix: zip, pdf, image, text, csv, other."""
+    suffix = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+    kind = F.lit(None).cast("string")
+    for name, known in DROPPED.items():
+        kind = F.coalesce(kind, F.when(suffix.isin(*known), name))
+    return paths.select(path).distinct().withColumn("kind", F.coalesce(kind, F.lit("other")))
