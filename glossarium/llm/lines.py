@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, stored, table
@@ -34,27 +34,26 @@ def _needed(n: Column, threshold: float) -> Column:
 
 
 def rarity_levels(docs: DataFrame) -> Column:
-    """Number of bits of the count of each bucket of token hashes over all lines, as a literal array: its size is
-    fixed, whatever the corpus."""
+    """Number of bits of the count of each bucket of token hashes over all lines, in the upper 8 bits of a literal array's
+    items: its size is fixed, whatever the corpus."""
     words = F.split(_spaced(F.col("text"), "\n"), " ")
     tokens = doc_text(docs).select(F.explode(words).alias("token"))
-    counts = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("k")).count()
+    counts = tokens.groupBy(F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).count()
     levels = [0] * BUCKETS
     for r in counts.collect():
-        levels[r["k"]] = int(r["count"]).bit_length()
-    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<int>")
+        levels[r["k"]] = int(r["count"]).bit_length() << 56
+    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
 
 
 def _ordered(line: Column, levels: Column) -> Column:
     """A line's distinct tokens, the rarest first: level in the upper 8 bits, hash below."""
-    key = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    key = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
-def _parity(t: Column, half: int) -> Column:
-    """One of two words of bits, each the parity of the number of tokens that fall on it."""
-    bit = lambda h: F.when(h.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+def _parity(t: Column) -> Column:
+    """64 bits, each the parity of the number of tokens that fall on it."""
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -68,75 +67,93 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD)
     lines = lines.select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
     lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t")
     prefix = F.slice("t", F.lit(1), F.col("n") - _needed(F.col("n"), threshold) + 1)
-    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("s0"), _parity(F.col("t"), 1).alias("s1"))
-    return keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("s0", "s1", "prefix")))
+    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t")).alias("s"))
+    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("s").alias("s"), F.first("prefix").alias("prefix"))
+    return first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "s", "prefix")
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:
-    """The length and positional filters of two prefixes that share the tokens at their places, and a bound by parity:
-    every token that only one of two sets has turns one bit, so they differ in at least as many tokens as in bits."""
+    """The length and positional filters of two prefixes at the first token that they share, and a bound by parity: every
+    token that only one of two sets has turns one bit, so they differ in at least as many tokens as in bits. Before their
+    first shared token two sets share none, so what is left of either must hold all that they share."""
     na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
     overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    shared_at_most = F.least(na - pa, nb - pb) + F.least(pa, pb)
-    turned = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("s0", "s1"))
+    turned = F.bit_count(F.col(f"{a}s").bitwiseXOR(F.col(f"{b}s")))
     alike = turned <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (shared_at_most >= overlap) & alike
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (F.least(na - pa, nb - pb) >= overlap) & alike
 
 
-def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of rows that share a prefix token, b first seen after a, past the filters."""
-    a, b = left.alias("a"), right.alias("b")
-    both = a.join(b, F.col("a.token") == F.col("b.token"))
-    fits = _fits("a.", "b.", threshold)
-    return both.where((F.col("a.at") < F.col("b.at")) & fits).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+def _place(side: str) -> Column:
+    return F.struct(F.col(f"{side}doc_id").alias("doc_id"), F.col(f"{side}line_no").alias("line_no"))
+
+
+def _led(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of rows b and the first row a of their token, past the filters."""
+    columns = ("doc_id", "line_no", "n", "pos", "s")
+    lead = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*columns)).alias("l"))
+    lead = lead.where("size > 1").select("token", "l.*").alias("a")
+    both = lead.join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
+    return both.where((_place("a.") < _place("b.")) & _fits("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
+
+
+def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of rows that share a prefix token, b not matched yet (``open``) and seen after a, past the filters. Both sides
+    are the same rows, so that they are shuffled once: hence ``open`` is asked in a term that names both."""
+    both = rows.alias("a").join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
+    later = F.when(F.col("b.open"), _place("a.") < _place("b.")).otherwise(F.col("a.n") < 0)
+    return both.where(later & _fits("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The later ends b of the pairs (a, b) whose whole token sets have a Jaccard similarity of the threshold."""
     pairs = stored(pairs, "line_pairs")
     places = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
-    per_doc = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("wanted"))
-    lines = doc_text(docs).join(per_doc, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("parts"))
-    lines = lines.select("doc_id", F.explode("wanted").alias("line_no"), "parts")
-    sets = lines.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(_hashes(F.get("parts", F.col("line_no")))).alias("t"))
-    sets = stored(sets.groupBy("at").agg(F.first("t").alias("t")), "line_sets")
+    per_doc = stored(places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("wanted")), "wanted")
+    per_doc = per_doc.withColumnRenamed("doc_id", "_doc")
+    lines = doc_text(docs).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "wanted", F.split("text", "\n").alias("parts"))
+    found = F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get("parts", i).alias("line")))
+    lines = lines.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.line_no", "l.line")
+    sets = lines.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(_hashes(F.col("line"))).alias("t"))
     both = pairs.join(sets.select(F.col("at").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("at").alias("b"), F.col("t").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("b").distinct()
+    return stored(both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("b").distinct(), "matched")
+
+
+#: Of tokens one in LEADERS looks for its first row's likes before all tokens do; short prefixes have all tokens looking.
+LEADERS, SHORT = 3, 4
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_lines, n_removed and the text that is left.
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, the text that is left, and the columns ``more`` of each row as they are.
 
     Lines are cut at newlines; a line's set is its distinct tokens (lower-cased runs without white space). A line
     goes if any line before it, by (doc_id, line number), has a set with a Jaccard similarity of ``threshold`` or
     more; lines of white space stay. The join is exact: lines of equal sets are one class, a class lists the prefix
     of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters,
-    and a bound by bits of parity that loses no pair, are verified. First every class of a token meets the token's first class only; classes matched so need no further
-    candidates, so a token with a great group of alike lines does not give all its pairs.
+    and a bound by bits of parity that loses no pair, are verified. For some tokens every class first meets the token's
+    first class only; classes matched so need no further candidates, so a great group of alike lines does not give all
+    its pairs. Then all tokens join.
 
     Null and empty texts have one empty line and keep it; of rows with the same doc_id the lines count as the same
-    places, so doc_id should be unique; an empty table gives none; further columns are not read.
+    places, in each of them; rows without doc_id come before all others, as one; an empty table gives none; further
+    columns are not read.
     """
     levels = rarity_levels(docs)
     classes = stored(line_classes(docs, levels, threshold), "line_classes")
-    spread = classes.select("at", "n", "s0", "s1", F.posexplode("prefix").alias("pos", "token"))
-    same = Window.partitionBy("token")
-    members = spread.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("lead", F.min(F.struct("at", "n", "pos", "s0", "s1")).over(same)).where("size > 1")
-    lead = F.when((F.col("lead.at") < F.col("at")) & _fits("lead.", "", threshold), F.col("lead.at"))
-    members = stored(members.select("token", "at", "n", "pos", "s0", "s1", lead.alias("lead")), "token_lines")
-    first = stored(_matched(members.where("lead is not null").select(F.col("lead").alias("a"), F.col("at").alias("b")).distinct(), docs, threshold), "matched")
-    members = members.drop("lead")
-    rest = members.join(first.select(F.col("b").alias("at")), "at", "left_anti")
-    second = _matched(_candidates(members, rest, threshold), docs, threshold)
-    gone = first.unionByName(second).select(F.col("b").alias("at"))
-    kept = classes.select("at").join(gone, "at", "left_anti")
-    per_doc = kept.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("kept"))
-    out = doc_text(docs).join(per_doc, "doc_id", "left").select("doc_id", F.split("text", "\n").alias("parts"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    some = classes.withColumn("few", F.size("prefix") <= SHORT).select("doc_id", "line_no", "n", "s", "few", F.posexplode("prefix").alias("pos", "token"))
+    first = _matched(_led(some.where(F.col("few") | (F.col("token") % LEADERS == 0)).drop("few"), threshold), docs, threshold)
+    known = first.select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
+    marked = classes.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left")
+    rows = marked.select("doc_id", "line_no", "n", "s", F.col("_l").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    second = _matched(_candidates(rows, threshold), docs, threshold)
+    gone = first.unionByName(second).select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
+    kept = classes.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
+    per_doc = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+    out = doc_text(docs, *more).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", *more, F.split("text", "\n").alias("parts"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = lambda s: ~F.rlike(s, F.lit(r"\S"))
-    left = F.filter("parts", lambda s, i: F.array_contains("kept", i) | blank(s))
-    return out.select("doc_id", F.size("parts").alias("n_lines"), left.alias("left")).select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("text")
+    left = F.filter("parts", lambda s, i: blank(s) | F.array_contains("kept", i))
+    return out.select("doc_id", *more, F.size("parts").alias("n_lines"), left.alias("left")).select(
+        "doc_id", *more, "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("text")
     )
 
 

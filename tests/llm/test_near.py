@@ -149,7 +149,7 @@ def lines_brute(docs, t=0.8):
         parts = (text or "").split("\n")
         left = []
         for p in parts:
-            s = frozenset(w for w in p.lower().split(" ") if w) if p.strip() else frozenset()
+            s = frozenset(p.lower().split())
             if not s or not any(jaccard(s, o) >= t for o in seen if t * len(s) <= len(o) + 1e-9 and len(o) * t <= len(s) + 1e-9):
                 left.append(p)
             if s:
@@ -159,7 +159,7 @@ def lines_brute(docs, t=0.8):
 
 
 def test_line_dedup_equals_brute_force(spark, sf):
-    docs = table(spark, sf, "documents").where("length(text) < 6000")
+    docs = table(spark, sf, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs).collect()}
     assert got == lines_brute(rows)
@@ -174,6 +174,29 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_without_doc_ids_and_with_repeated_rows(spark):
+    rows = [(None, "first line here\nsecond line there"), (1, "first line here"), (2, "own words only"), (2, "own words only"), (3, "a b c d e f g h i")]
+    rows += [(None, "a b c d e f g h i j")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    got = sorted((r.doc_id or 0, r.n_removed, r.text, r.lang) for r in lines.dedup_lines(df, more=("lang",)).collect())
+    assert [g for g in got if g[0]] == [(1, 1, "", "x"), (2, 0, "own words only", "x"), (2, 0, "own words only", "x"), (3, 1, "", "x")]
+    assert [g[1] for g in got if not g[0]] == [0, 0]
+
+
+def test_line_dedup_of_many_alike_lines(spark):
+    """A great group of alike lines, many of them just below the threshold, and one of few tokens."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        line = list(words)
+        for _ in range(rng.randrange(0, 9)):
+            line[rng.randrange(40)] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(line) + "\n" + " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6)))))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_brute(rows)
+
+
 def test_line_dedup_cuts_at_all_white_space(spark):
     words = "one two three four five six seven eight"
     rows = [(1, words), (2, words + "\r\nnew line\r"), (3, "\t" + words), (4, words.replace(" ", "\t")), (5, words.replace(" ", "\x0b\f ")), (6, "new\tline")]
