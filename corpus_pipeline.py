@@ -29,11 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that line dedup removes. Documents that lose every line go; those that were empty stay."""
-    left = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return docs.drop("text", "n_chars").join(left.select("doc_id", "text"), "doc_id").select(
-        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
-    )
+    """Texts without the lines that line dedup removes. Documents that lose every line go; those that were empty or null
+    stay, as empty ones; equal rows stay as many, all of them with what one of them keeps; rows without doc_id count as one
+    document; an empty table gives none; further columns go."""
+    left = lines.dedup_lines(docs, more=("lang", "source")).where((F.col("n_removed") == 0) | (F.length("text") > 0))
+    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
