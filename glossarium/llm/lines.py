@@ -51,9 +51,10 @@ def _ordered(line: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
-def _parity(t: Column) -> Column:
-    """64 bits, each the parity of the number of tokens that fall on it."""
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(t: Column, half: int) -> Column:
+    """One of two words of bits, each the parity of the number of tokens that fall on it."""
+    bit = lambda h: F.call_function("shiftleft", F.shiftrightunsigned(h, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1)), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -67,9 +68,9 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD)
     lines = lines.select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
     lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t")
     prefix = F.slice("t", F.lit(1), F.col("n") - _needed(F.col("n"), threshold) + 1)
-    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t")).alias("s"))
-    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("s").alias("s"), F.first("prefix").alias("prefix"))
-    return first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "s", "prefix")
+    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("s0"), _parity(F.col("t"), 1).alias("s1"))
+    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
+    return first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "s0", "s1", "prefix")
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:
@@ -78,7 +79,7 @@ def _fits(a: str, b: str, threshold: float) -> Column:
     first shared token two sets share none, so what is left of either must hold all that they share."""
     na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
     overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    turned = F.bit_count(F.col(f"{a}s").bitwiseXOR(F.col(f"{b}s")))
+    turned = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("s0", "s1"))
     alike = turned <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
     return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (F.least(na - pa, nb - pb) >= overlap) & alike
 
@@ -89,7 +90,7 @@ def _place(side: str) -> Column:
 
 def _led(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of rows b and the first row a of their token, past the filters."""
-    columns = ("doc_id", "line_no", "n", "pos", "s")
+    columns = ("doc_id", "line_no", "n", "pos", "s0", "s1")
     lead = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*columns)).alias("l"))
     lead = lead.where("size > 1").select("token", "l.*").alias("a")
     both = lead.join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
@@ -140,11 +141,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str,
     """
     levels = rarity_levels(docs)
     classes = stored(line_classes(docs, levels, threshold), "line_classes")
-    some = classes.withColumn("few", F.size("prefix") <= SHORT).select("doc_id", "line_no", "n", "s", "few", F.posexplode("prefix").alias("pos", "token"))
+    some = classes.withColumn("few", F.size("prefix") <= SHORT).select("doc_id", "line_no", "n", "s0", "s1", "few", F.posexplode("prefix").alias("pos", "token"))
     first = _matched(_led(some.where(F.col("few") | (F.col("token") % LEADERS == 0)).drop("few"), threshold), docs, threshold)
     known = first.select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
     marked = classes.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left")
-    rows = marked.select("doc_id", "line_no", "n", "s", F.col("_l").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    rows = marked.select("doc_id", "line_no", "n", "s0", "s1", F.col("_l").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
     second = _matched(_candidates(rows, threshold), docs, threshold)
     gone = first.unionByName(second).select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
     kept = classes.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
