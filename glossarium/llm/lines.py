@@ -73,15 +73,19 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD)
     return first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "s0", "s1", "prefix")
 
 
-def _fits(a: str, b: str, threshold: float) -> Column:
-    """The length and positional filters of two prefixes at the first token that they share, and a bound by parity: every
-    token that only one of two sets has turns one bit, so they differ in at least as many tokens as in bits. Before their
-    first shared token two sets share none, so what is left of either must hold all that they share."""
-    na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
-    overlap = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """The length filter and a bound by parity: every token that only one of two sets has turns one bit, so they differ in
+    at least as many tokens as in bits."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     turned = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("s0", "s1"))
-    alike = turned <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (F.least(na - pa, nb - pb) >= overlap) & alike
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (turned <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def _first_shared(a: str, b: str, threshold: float) -> Column:
+    """The positional filter of two prefixes at the first token that they share: before it they share none, so what is left
+    of either must hold all that they share. Two alike sets pass it at their first shared token at least."""
+    na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
+    return F.least(na - pa, nb - pb) >= F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
 
 
 def _place(side: str) -> Column:
@@ -89,12 +93,12 @@ def _place(side: str) -> Column:
 
 
 def _led(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of rows b and the first row a of their token, past the filters."""
-    columns = ("doc_id", "line_no", "n", "pos", "s0", "s1")
+    """(a, b) of rows b and the first row a of their token, if alike: any shared token will do, as no pair need be found here."""
+    columns = ("doc_id", "line_no", "n", "s0", "s1")
     lead = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*columns)).alias("l"))
     lead = lead.where("size > 1").select("token", "l.*").alias("a")
     both = lead.join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
-    return both.where((_place("a.") < _place("b.")) & _fits("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
+    return both.where((_place("a.") < _place("b.")) & _alike("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
 
 def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
@@ -102,7 +106,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
     are the same rows, so that they are shuffled once: hence ``open`` is asked in a term that names both."""
     both = rows.alias("a").join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
     later = F.when(F.col("b.open"), _place("a.") < _place("b.")).otherwise(F.col("a.n") < 0)
-    return both.where(later & _fits("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
+    return both.where(later & _first_shared("a.", "b.", threshold) & _alike("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +125,7 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 #: Of tokens one in LEADERS looks for its first row's likes before all tokens do; short prefixes have all tokens looking.
-LEADERS, SHORT = 3, 4
+LEADERS, SHORT = 2, 8
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str, ...] = ()) -> DataFrame:
@@ -142,7 +146,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str,
     levels = rarity_levels(docs)
     classes = stored(line_classes(docs, levels, threshold), "line_classes")
     some = classes.withColumn("few", F.size("prefix") <= SHORT).select("doc_id", "line_no", "n", "s0", "s1", "few", F.posexplode("prefix").alias("pos", "token"))
-    first = _matched(_led(some.where(F.col("few") | (F.col("token") % LEADERS == 0)).drop("few"), threshold), docs, threshold)
+    first = _matched(_led(some.where(F.col("few") | (F.col("token") % LEADERS == 0)).drop("few", "pos"), threshold), docs, threshold)
     known = first.select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
     marked = classes.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left")
     rows = marked.select("doc_id", "line_no", "n", "s0", "s1", F.col("_l").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
