@@ -22,7 +22,8 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that toxicity does not reject, as they are. Null and empty texts are scored like any other."""
+    """Documents that toxicity does not reject, as they are. Null and empty texts are scored like any other; of rows with
+    one id all go if one does; rows without an id stay; an empty table gives none; further columns go."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(crc_fold("doc_id", 4) != 2))
     bad = toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*_COLUMNS)
@@ -37,16 +38,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near duplicates; documents without words are classes of their own."""
+    """The document of least id of each class of near duplicates; documents without words are classes of their own. Rows of
+    one id stay or go together; an empty table gives none; further columns go."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as mixing gives it, none for some."""
-    copies = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0").select("doc_id", "copies")
-    out = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*_COLUMNS)
+    """As many copies of each row as mixing gives it, none for some. Rows of one id and text get the same number each; null
+    and empty texts have no tokens and are judged by their measures; an empty table gives none; further columns go."""
+    keyed = docs.select(*_COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    copies = mixing.mix(keyed, table(spark, sf_dir, "labels"), TARGETS, more=("text_key",)).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies")
+    copies = copies.where("copies > 0").distinct()
+    out = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*_COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,9 @@ def wordlist(records: DataFrame, text: str = "raw", strip_trailing: bool = True,
             .otherwise(_row(word, pron))
         )
 
-    return emit(records, F.transform(tokens, row))
+    # tokens become rows first: what is asked of each is then compiled, inside a transform it would be interpreted
+    rows = records.select("*", F.posexplode(tokens).alias("draft_no", "_token")).withColumn("d", row(F.col("_token")))
+    return rows.select(*records.columns, "draft_no", "d.*")
 
 
 def _cut(c: Column, separator: str, custom: str) -> Column:

@@ -45,13 +45,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, on a local
+    master only: on a cluster each executor would write to its own disk."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "glossarium-checkpoints"))
         current = sc.getCheckpointDir()
     return current
