@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, doc_text, ship, slices, stored, table
@@ -443,8 +443,8 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Documents for which the condition ``held_out`` is true are not learned from (default: none). Documents are packed
-    into blocks of BLOCK bytes, written once; a block's distinct words meet their corpus-wide counts by a shuffle on the
-    word, one row per word and block, so a frequent word has as many rows as there are blocks. Training is data-parallel:
+    into blocks of BLOCK bytes, written once; a block's distinct words are summed before the shuffle and meet their
+    corpus-wide counts in a join that adaptive execution can split, as a frequent word has a row for each block. Training is data-parallel:
     every task steps through its training texts, block by block, a share of their windows in each round, so that over all
     rounds each id is a target once; the parameters are averaged over a task's steps, and over tasks between rounds. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
 
@@ -457,10 +457,9 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     packed = doc_text(docs, train.alias("train")).mapInArrow(_pack, "block long, doc_ids array<long>, train array<boolean>, texts array<binary>")
     blocks = stored(packed, "blocks")
     words = blocks.mapInArrow(_block_words, "block long, word binary, n long")
-    w = Window.partitionBy("word")
-    words = words.withColumns({"c": F.sum("n").over(w), "first": F.min("block").over(w) == F.col("block")})
     words = stored(words, "words")
-    one = words.where("first and c > 0")
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    one = counts.where("c > 0")
     stats = one.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = int(stats["total"] or 0), int(stats["distinct"])
     e = encoder(model_path)
@@ -476,7 +475,7 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
         tuned = blocks.select("train", "texts").mapInArrow(_train(layout, model_path, flat, k), "i long, v double, w double")
         got = sorted(tuned.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect())
         flat = np.array([r["v"] for r in got]) if got else flat
-    known = words.groupBy("block").agg(F.collect_list(F.struct("word", "c")).alias("known"))
+    known = words.select("block", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("word", "c")).alias("known"))
     return blocks.join(known, "block").select("doc_ids", "train", "texts", "known").mapInArrow(
         _score(layout, model_path, flat, total, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -49,8 +49,11 @@ def spectrogram(samples: bytes) -> np.ndarray:
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128.0
     n = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
     x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x), dtype=np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    return np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)).astype(np.float32)
+    frames, hann = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP], np.hanning(FRAME).astype(np.float32)
+    out = np.empty((len(frames), FRAME // 2 + 1), np.float32)
+    for at in range(0, len(frames), 4096):  # a long text's windowed frames never stand in memory together
+        out[at : at + 4096] = np.abs(np.fft.rfft(frames[at : at + 4096] * hann, axis=1))
+    return out
 
 
 def peak_pairs(spec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

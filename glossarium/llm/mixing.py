@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,11 @@ def word_buckets(text: Column) -> Column:
     return F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens (runs without white space), the distinct buckets of its words and the bin of each measure."""
-    text = doc_text(docs).select(
+    text = doc_text(docs, *more).select(
         "doc_id",
+        *more,
         word_buckets(F.col("text")).alias("words"),
         F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"),
         F.length("text").alias("size"),
@@ -57,7 +59,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def bin_of(name: str) -> Column:
         return sum(((value[name] > edge).cast("int") for edge in EDGES[name]), F.lit(0)).alias(name)
 
-    return text.select("doc_id", "n_tokens", "words", *(bin_of(k) for k in EDGES))
+    return text.select("doc_id", *more, "n_tokens", "words", *(bin_of(k) for k in EDGES))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -164,22 +166,24 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None =
         if max(map(abs, residual)) < TOLERANCE:
             break
         dual = [a + b for a, b in zip(dual, _solve(gram, residual))]
+    else:
+        warnings.warn(f"after {steps} steps the domains' totals are off by {max(map(abs, residual)):.2g} of all tokens", stacklevel=2)
     return _rate(dual)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, p (probabilities of DOMAINS), rate and copies of each document.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, p (probabilities of DOMAINS), rate and copies of each document, and the columns ``more`` as they are.
 
     rate is how often a document is to be expected in the mixture; copies is its whole part, and one more with the
     probability of the rest, by a hash of the id. Null and empty texts have no tokens and are judged by their
     bins alone; equal texts get equal rates; an empty table gives none; further columns are not read.
     """
-    bins = stored(measured(docs), "measured")
+    bins = stored(measured(docs, *more), "measured")
     labelled = stored(bins.join(domain_of(labels).hint("merge"), "doc_id").select(*EDGES, "words", "domain"), "labelled")
-    judged = stored(posteriors(bins, labelled).select("doc_id", "n_tokens", "p"), "judged")
+    judged = stored(posteriors(bins, labelled).select("doc_id", *more, "n_tokens", "p"), "judged")
     out = judged.withColumn("rate", fit_rates(judged.select(F.col("n_tokens").cast("double").alias("m"), "p"), targets, total))
     spot = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return out.select("doc_id", "n_tokens", "p", "rate", F.floor(F.col("rate") + spot).cast("int").alias("copies"))
+    return out.select("doc_id", *more, "n_tokens", "p", "rate", F.floor(F.col("rate") + spot).cast("int").alias("copies"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -150,7 +150,9 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, default: str =
     mined = mined.where(F.col("verdict") != default)
     open_urls = base.where("given is null and size(tokens) > 0").groupBy("url").agg(F.first("tokens").alias("tokens"))
     fitted = match(open_urls, mined, items, key="url")
-    out = base.drop("tokens").join(fitted, "url", "left")
+    # null urls match nothing, each in its own way, so that they do not meet in one task
+    key = F.coalesce(F.col("url"), F.concat(F.lit("\0"), F.xxhash64("page_id").cast("string")))
+    out = base.drop("tokens").join(fitted.withColumnRenamed("url", "mined_url"), key == F.col("mined_url"), "left")
     return out.select(
         "page_id",
         "url",

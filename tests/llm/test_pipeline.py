@@ -28,3 +28,18 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
 def test_run_writes_every_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0
+
+
+def test_stages_keep_repeated_rows_and_take_empty_tables(spark, tmp_path):
+    rows = [(1, "some words stand here alone", "en", "s", 27), (1, "some words stand here alone", "en", "s", 27), (1, "other text of the same id", "en", "s", 25), (None, "no id at all here", "en", None, 17), (2, None, None, "s", None)]
+    docs = spark.createDataFrame([(*r, 7, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, copies int, key int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        got = [r for r in out.collect() if r.doc_id == 1 and r.text and r.text.startswith("some")]
+        if name != "mixing":
+            assert len(got) == 2, name
+        assert len(got) % 2 == 0, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

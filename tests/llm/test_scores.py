@@ -272,3 +272,53 @@ def test_spectrogram_finds_a_tone():
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8).tobytes()
     spec = media.spectrogram(tone)
     assert abs(spec[3].argmax() * media.RATE / media.FRAME - 1000) < media.RATE / media.FRAME
+
+
+def test_fingerprints_equal_a_plain_loop():
+    rng = np.random.default_rng(4)
+    samples = rng.integers(90, 170, 64 * 300, dtype=np.uint8).tobytes()
+    spec = media.spectrogram(samples)
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    for k in (0, 7, len(spec) - 1):
+        frame = np.zeros(media.FRAME, np.float32)
+        part = x[k * media.HOP : k * media.HOP + media.FRAME]
+        frame[: len(part)] = part
+        assert spec[k] == pytest.approx(np.abs(np.fft.rfft(frame * np.hanning(media.FRAME).astype(np.float32))), rel=1e-4, abs=1e-3)
+    want = []
+    for band, (lo, hi) in enumerate(zip(media.BANDS, media.BANDS[1:])):
+        peaks = [max(range(lo, hi), key=lambda b: (row[b], -b)) for row in spec]
+        mean = sum(float(spec[i][p]) for i, p in enumerate(peaks)) / len(spec)
+        loud = [spec[i][p] >= mean - 1e-3 for i, p in enumerate(peaks)]
+        for i in range(len(spec)):
+            for gap in range(1, media.FAN_OUT + 1):
+                if i + gap < len(spec) and loud[i] and loud[i + gap]:
+                    want.append((i, peaks[i] << 20 | peaks[i + gap] << 8 | band << 4 | gap))
+    t, h = media.peak_pairs(spec)
+    assert list(zip(t.tolist(), h.tolist())) == sorted(want)
+
+
+def test_mined_rules_equal_brute_force(spark):
+    """Every combination of the few tokens there are, counted page by page."""
+    from itertools import combinations
+
+    rng = random.Random(8)
+    rows = [([t for t in "abcde" if rng.random() < 0.5], rng.choice(["block", "block", "allow"])) for _ in range(400)]
+    rows = [(t, "block" if "a" in t and "c" in t else y) for t, y in rows if t]
+    rules, items = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.7)
+    name = {r.token: r.item for r in items.collect()}
+    assert set(name) == set("abcde") and all(k == v for k, v in name.items())
+    want = {}
+    for n in range(1, 6):
+        for c in combinations("abcde", n):
+            held = [y for t, y in rows if set(c) <= set(t)]
+            for y in ("block", "allow"):
+                if held.count(y) >= max(0.05 * len(rows), urls.MIN_PAGES) and held.count(y) >= 0.7 * len(held):
+                    want[c, y] = (round(held.count(y) / len(held), 9), round(held.count(y) / len(rows), 9))
+    assert {(tuple(r["items"]), r.verdict): (r.confidence, r.support) for r in rules.collect()} == want
+
+
+def test_null_urls_do_not_meet(spark):
+    pages = spark.createDataFrame([(i, None) for i in range(50)] + [(99, "http://org/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.host, r.verdict) for r in urls.url_filter(pages, labels).collect()}
+    assert got[3] == ("", "allow") and len(got) == 51
