@@ -95,8 +95,8 @@ def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
 
 def _windows(threshold: float, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs within the window of a sorted partition; and its first and last rows, which meet those of the
-        partitions beside it afterwards."""
+        """Pairs within the window of a sorted partition; and its first and last rows, which meet those of other
+        partitions afterwards."""
         import pyspark
 
         part = pyspark.TaskContext.get().partitionId()
@@ -114,7 +114,7 @@ def _windows(threshold: float, window: int):
         if tail is not None:
             for side, rows in (("tail", tail), ("head", pd.concat(head))):
                 yield pd.DataFrame(
-                    {"a": rows.vec_id, "b": None, "edge": part + (side == "tail"), "side": side, "pass": rows["pass"], "dim": rows.dim, "label": rows.label, "v": rows.v, "pos": np.arange(len(rows))}
+                    {"a": rows.vec_id, "b": None, "part": part, "side": side, "pass": rows["pass"], "dim": rows.dim, "label": rows.label, "v": rows.v, "pos": np.arange(len(rows))}
                 ).astype({"b": "Int64"})
 
     return run
@@ -136,24 +136,38 @@ def _pairs(block: pd.DataFrame, fresh: int, threshold: float, window: int) -> pd
             found_b.append(ids[j[at]])
     a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
     b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "edge": None, "side": None, "pass": None, "dim": None, "label": None, "v": None, "pos": None}).astype(
-        {"b": "Int64", "edge": "Int32", "pass": "Int32", "dim": "Int32", "pos": "Int32"}
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "part": None, "side": None, "pass": None, "dim": None, "label": None, "v": None, "pos": None}).astype(
+        {"b": "Int64", "part": "Int32", "pass": "Int32", "dim": "Int32", "pos": "Int32"}
     )
 
 
-_WINDOW_SCHEMA = "a long, b long, edge int, side string, pass int, dim int, label string, v binary, pos int"
+_WINDOW_SCHEMA = "a long, b long, part int, side string, pass int, dim int, label string, v binary, pos int"
+
+
+def meetings(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """(part, at): of which partitions the last rows meet the first rows of which, from (part, rows or ``window`` if there are
+    more): those before it, as many as it takes for ``window`` rows."""
+    out, sizes = [], sorted(sizes)
+    for k, (at, _) in enumerate(sizes):
+        rows = 0
+        for part, n in reversed(sizes[max(0, k - window) : k]):
+            if rows >= window:
+                break
+            out.append((part, at))
+            rows += n
+    return out
 
 
 def _across(threshold: float, window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The last rows of a partition against the first of the next."""
-        pdf = pdf.sort_values(["side", "pos"], ascending=[False, True]).reset_index(drop=True)  # tail, then head
-        tails = int((pdf.side == "tail").sum())
-        if not 0 < tails < len(pdf):
+        """The first rows of a partition and the ``window`` rows before them, from one or more partitions."""
+        pdf = pdf.sort_values(["part", "pos"])
+        before, after = pdf[pdf.side == "tail"].tail(window), pdf[pdf.side == "head"]
+        if not len(before) or not len(after):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        block = pdf.rename(columns={"a": "vec_id"}).drop(columns="b")
-        got = _pairs(block, tails, threshold, window)
-        left = set(block.vec_id[:tails])
+        block = pd.concat([before, after], ignore_index=True).rename(columns={"a": "vec_id"}).drop(columns="b")
+        got = _pairs(block, len(before), threshold, window)
+        left = set(before.a)
         keep = [(a in left) != (b in left) for a, b in zip(got.a, got.b)]
         return got.loc[keep, ["a", "b"]].astype("int64")
 
@@ -197,9 +211,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     keyed = classes.select("vec_id", "label", "v").mapInArrow(_keyed(passes, bits), "pass int, key long, dim int, vec_id long, label string, v binary")
     spread = keyed.repartitionByRange("pass", "label", "dim", "key", "vec_id").sortWithinPartitions("pass", "label", "dim", "key", "vec_id")
     seen = stored(spread.mapInPandas(_windows(threshold, window), _WINDOW_SCHEMA), "windows")
-    edges = seen.where("edge is not null").select("a", F.lit(None).cast("long").alias("b"), "edge", "side", "pass", "dim", "label", "v", "pos")
-    crossing = edges.groupBy("edge").applyInPandas(_across(threshold, window), "a long, b long")
-    links = seen.where("edge is null").select("a", "b").unionByName(crossing)
+    edges = seen.where("part is not null").select("a", F.lit(None).cast("long").alias("b"), "part", "side", "pass", "dim", "label", "v", "pos")
+    sizes = edges.where("side = 'head'").groupBy("part").count().collect()  # a row for each partition
+    meet = spark.createDataFrame(meetings([(r["part"], r["count"]) for r in sizes], window), "part int, at int")
+    tails = edges.where("side = 'tail'").join(meet, "part")
+    crossing = tails.unionByName(edges.where("side = 'head'").withColumn("at", F.col("part"))).groupBy("at").applyInPandas(_across(threshold, window), "a long, b long")
+    links = seen.where("part is null").select("a", "b").unionByName(crossing)
     members = stored(components(links), "members")
     inside = classes.join(members, classes.vec_id == members.node).select("component", "vec_id", "copies", "v")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

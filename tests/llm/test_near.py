@@ -254,6 +254,30 @@ def test_near_vectors_of_a_large_clustered_label(spark):
     assert sum(got[i] == got[n + i] for i in range(n)) >= 0.998 * n
 
 
+def test_near_vectors_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(5)).tolist(), "k") for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {}
+    keys = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": None}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got[n] = sorted(tuple(r) for r in embeddings.near_vectors(df, threshold=0.9, passes=1).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[1] == got[61] and any(r[1] for r in got[1])
+
+
+def test_partitions_meet_as_many_before_them_as_a_window_takes():
+    assert embeddings.meetings([], 12) == []
+    assert embeddings.meetings([(5, 12), (0, 3), (2, 1), (4, 12)], 12) == [(0, 2), (2, 4), (0, 4), (4, 5)]
+    assert [p for p, at in embeddings.meetings([(k, 1) for k in range(30)], 4) if at == 20] == [19, 18, 17, 16]
+
+
 def test_passes_follow_from_the_largest_label():
     sizes = [embeddings.effort(n) for n in (0, 1, 500, 10**4, 10**5, 5 * 10**5, 10**8)]
     assert sizes[0] == (embeddings.PASSES, embeddings.BITS) and sizes == sorted(sizes) and sizes[4][0] > 30
