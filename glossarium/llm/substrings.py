@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, ship, slices, stored, table
@@ -24,7 +24,8 @@ LENGTH = 200
 GRAM = 41
 #: Strings of LENGTH bytes that can share an anchor.
 REACH = LENGTH - GRAM + 1
-#: Contexts of an anchor up to which a suffix array handles them; more are spread by the hashes of their strings.
+#: Contexts of an anchor up to which one window counts them, and different ones up to which a suffix array handles them;
+#: more are aggregated before the shuffle, and spread by the hashes of their strings.
 MOST = 4096
 #: Bytes of contexts that share a suffix array, about.
 BUCKET = 1 << 19
@@ -301,19 +302,39 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _span(first: str, last: str) -> Column:
+    """The bytes of the strings that start from ``first`` to ``last``."""
+    return F.struct(F.col(first).alias("start"), (F.col(last) + LENGTH).alias("stop"))
+
+
+def _with_others(mixed: DataFrame) -> DataFrame:
+    """Each context with the number of different ones of its anchor."""
+    return mixed.join(mixed.groupBy("k").agg(F.count(F.lit(1)).alias("others")), "k")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop): stretches of bytes that are covered by strings of LENGTH bytes that start elsewhere too.
-    They can overlap."""
+    """(doc_id, spans): stretches (start, stop) of bytes that are covered by strings of LENGTH bytes that start elsewhere
+    too. A document can have several rows and they can overlap. Contexts are counted by anchor in windows; those of an
+    anchor that more than MOST have are counted by partial aggregates, a row for each document, and found again by a join
+    that adaptive execution can split, with the same result."""
     ship(docs.sparkSession)
     spots = stored(doc_text(docs).mapInArrow(_anchors, "doc_id long, q0 int, q1 int, p int, k long, c1 long, c2 long"), "anchors")
+    crowded = stored(spots.groupBy("k").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > MOST), "crowded")
     alike = Window.partitionBy("k", "c1", "c2")
-    counted = spots.repartition("k").withColumn("n", F.count(F.lit(1)).over(alike)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    counted = spots.join(crowded.select("k"), "k", "left_anti").repartition("k")
+    counted = counted.withColumn("n", F.count(F.lit(1)).over(alike)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("k")))
     first = F.row_number().over(alike.orderBy("doc_id", "q0")) == 1
     counted = stored(counted.where("all > 1").withColumn("first", first), "repeated_anchors")
-    whole = counted.where("n > 1").select("doc_id", F.col("q0").alias("start"), (F.col("q1") + LENGTH).alias("stop"))
-    mixed = counted.where("first and all > n")
-    sizes = mixed.groupBy("k").agg(F.count(F.lit(1)).alias("others"))
-    mixed = mixed.join(sizes, "k")
+    whole = counted.where("n > 1").select("doc_id", F.array(_span("q0", "q1")).alias("spans"))
+    mixed = _with_others(counted.where("first and all > n").select("doc_id", "q0", "q1", "p", "k", "n"))
+    # anchors of many contexts: a document's like contexts travel as one row, and aggregates take the place of windows
+    packed = spots.join(crowded, "k").groupBy("doc_id", "k", "c1", "c2", "all")
+    packed = packed.agg(F.collect_list(_span("q0", "q1")).alias("spans"), F.min(F.struct("doc_id", "q0", "q1", "p")).alias("at"))
+    packed = stored(packed, "crowded_contexts")
+    kinds = packed.groupBy("k", "c1", "c2", "all").agg(F.sum(F.size("spans")).alias("n"), F.min("at").alias("at"))
+    kinds = stored(kinds, "crowded_kinds")
+    whole = whole.unionByName(packed.join(kinds.where("n > 1").select("k", "c1", "c2"), ["k", "c1", "c2"]).select("doc_id", "spans"))
+    mixed = mixed.unionByName(_with_others(kinds.where("all > n").select("at.*", "k", "n")))
     wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("q0", "q1", "p", "k", "n", "others")).alias("wanted"))
     pieces = stored(doc_text(docs).join(wanted, "doc_id").mapInArrow(_cut, "doc_id long, q0 int, run int, place int, k long, n long, others long, bytes binary"), "contexts")
     total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -323,7 +344,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     strings = pieces.where(F.col("others") > MOST).mapInArrow(_string_hashes, "doc_id long, start int, n long, h1 long, h2 long")
     many = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     spread = strings.join(many, ["h1", "h2"]).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(partly).unionByName(spread)
+    stretch = F.array(F.struct("start", "stop")).alias("spans")
+    return whole.unionByName(partly.unionByName(spread).select("doc_id", stretch))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -336,7 +358,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gives none; further columns are not read.
     """
     spans = stored(repeated_spans(docs), "spans")
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return doc_text(docs).join(per_doc, "doc_id", "left").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>"
     )
