@@ -354,8 +354,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in the same document or another;
     overlaps count, nothing is kept of a repeat, and all is judged on the input. Null and empty texts and those shorter
-    than LENGTH stay as they are; of rows with one doc_id the spans are shared, so doc_id should be unique; an empty table
-    gives none; further columns are not read.
+    than LENGTH stay as they are; of rows with one doc_id the spans are shared, so doc_id should be unique; rows without doc_id
+    stay as they are, though what stands in them goes elsewhere; an empty table gives none; further columns are not read.
     """
     spans = stored(repeated_spans(docs), "spans")
     per_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))

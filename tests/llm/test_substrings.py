@@ -82,3 +82,11 @@ def test_spread_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substrings, "MOST", 3)
     rows = odd_rows()
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_rows_without_doc_id_stay_and_count_as_places(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST", 1)
+    text = odd_rows()[6][1]
+    rows = substrings.remove_repeats(spark.createDataFrame([(None, text), (None, text), (1, text)], "doc_id long, text string")).collect()
+    n = len(text.encode())
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 0), (1, n)]
