@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, shared_dir, stored, table  # noqa: F401
+from ..session import release, ship, shared_dir, stored, table  # noqa: F401
 
 
 def doc_text(df: DataFrame, *more: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_model, lines, media, minhash, mixing, pieces, substrings, toxicity, urls
+from . import embeddings, language_model, lines, media, merkle, minhash, mixing, overwrite, pieces, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_language_model": language_model.op1_language_model,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
+    "op11_overwrite": overwrite.op11_overwrite,
+    "op12_top_k": topk.op12_top_k,
+    "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_top_k": topk.OP12_SQL}
