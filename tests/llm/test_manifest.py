@@ -251,11 +251,10 @@ def test_days_that_lose_all_rows_have_no_files_and_a_repeated_commit_changes_not
     assert overwrite.layout_files(layout) == now
 
 
-def test_a_day_beyond_memory_is_sorted_on_disk(monkeypatch, tmp_path):
-    monkeypatch.setattr(overwrite, "MEMORY", "100MB")
+def test_a_day_beyond_memory_is_sorted_on_disk(tmp_path):
     con = duckdb.connect()
-    con.execute(f"copy (select hash(i) % 1000000007 as id, i % 97 as at, repeat(md5(i::varchar), 12) as pad from range(600000) t(i)) to '{tmp_path}/in.parquet'")
+    con.execute(f"copy (select hash(i) % 1000000007 as id, i % 97 as at, repeat(md5(i::varchar), 12) as pad from range(900000) t(i)) to '{tmp_path}/in.parquet'")
     out = overwrite.merge_day([], [], [f"{tmp_path}/in.parquet"], f"{tmp_path}/new", "s", ["id", "at", "pad"], "id", ["at", "id"], 250_000, f"{tmp_path}/work")
-    assert [pq.ParquetFile(p).metadata.num_rows for p in out] == [250_000, 250_000, 100_000]
+    assert [pq.ParquetFile(p).metadata.num_rows for p in out] == [250_000, 250_000, 250_000, 150_000]
     seen = [x for p in out for x in zip(*(pq.read_table(p, columns=["at", "id"]).column(c).to_pylist() for c in ("at", "id")))]
     assert seen == sorted(seen) and not glob.glob(f"{tmp_path}/work*")
