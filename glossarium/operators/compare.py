@@ -60,42 +60,113 @@ def align_exact(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "headword_key")
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(ka, kb, score) of distinct keys at the threshold or above, by an exact filter and then the ratio.
+#: Characters of a segment at least, for keys to meet on segments. Else on combinations of so many signs, as long as keys have
+#: no more edits than this; of one sign beyond.
+SEGMENT, SIGNS = 3, ((3, 8), (2, 14))
+
+
+def _needed(m: Column, n: Column, t: float) -> Column:
+    """Characters that two keys of these lengths must have in common, in order, for a ratio of ``t``."""
+    return F.ceil((m + n) * t / 200 - 1e-9).cast("int")
+
+
+def _partners(keys: DataFrame, own: str, other: str, t: float) -> DataFrame:
+    """A row for each length that a partner can have."""
+    n = F.col(own)
+    low, high = F.ceil(n * t / (200 - t) - 1e-9).cast("int"), F.floor(n * (200 - t) / t + 1e-9).cast("int")
+    return keys.withColumn(other, F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
+
+
+def _with_edits(rows: DataFrame, t: float) -> DataFrame:
+    """Rows with lengths na and nb: the most edits between such keys, and whether they meet on segments of kb."""
+    rows = rows.withColumn("edits", F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), t))
+    return rows.withColumn("by_segment", F.floor(F.col("nb") / (F.col("edits") + 1)) >= SEGMENT)
 
-    A ratio of t over lengths m and n needs a common subsequence of s = ceil(t (m + n) / 200) characters, so both lengths
-    are in a band, and at most m - s characters of one key are missing from the other. Hence of the (m - s) + 1 rarest
-    characters of a key, counted with their repeats, at least one is in the other key: keys meet on length and on those
-    characters, never all with all.
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """A row for each of edits + 1 segments of kb: number (i), start (from 0) and length, as even as can be."""
+    parts = F.col("edits") + 1
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    start = lambda i: F.floor(i * F.col("nb") / parts).cast("int")
+    return rows.withColumns({"start": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
+
+
+def _on_segments(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by the segments they can meet on.
+
+    So many edits leave one of edits + 1 segments of kb untouched. Going through the segments there is a first one that is
+    untouched and has as many edits before it as segments; so it stands in ka shifted by that number at most, and what
+    is left of the shift between the ends by the number of segments after it.
     """
-    t = float(threshold)
+    y = _segments(right).select("kb", "nb", "na", "bits", "i", F.substr("kb", F.col("start") + 1, "size").alias("part"))
+    x = _segments(left)
+    i, rest, gap = F.col("i"), F.col("edits") - F.col("i"), F.col("na") - F.col("nb")
+    first, last = F.greatest(-i, gap - rest, -F.col("start")), F.least(i, gap + rest, F.col("na") - F.col("start") - F.col("size"))
+    x = x.withColumns({"first": first, "last": last}).where("first <= last").withColumn("shift", F.explode(F.sequence("first", "last")))
+    return x.select("ka", "na", "nb", "bits", "i", F.substr("ka", F.col("start") + F.col("shift") + 1, "size").alias("part")), y
+
+
+def _on_signs(rows: DataFrame, key: str, own: str, t: float) -> DataFrame:
+    """A row for each combination of signs that keys can meet on.
 
-    def spread(df: DataFrame, key: str, to: str) -> DataFrame:
-        out = df.select(F.col(key).alias(to)).distinct().withColumn("n", F.length(to))
-        return out.where("n > 0")
-
-    def signs(c: Column) -> Column:
-        """Characters numbered by their repeats, so that a multiset becomes a set."""
-        chars = F.array_sort(F.split(c, ""))
-        chars = F.filter(chars, lambda ch: ch != "")
-        return F.transform(chars, lambda ch, i: F.concat(ch, (i - F.array_position(chars, ch) + 1).cast("string")))
-
-    x, y = (spread(d, "headword_key", k).withColumn("c", signs(F.col(k))) for d, k in ((a, "ka"), (b, "kb")))
-    count = x.select(F.explode("c").alias("s")).unionByName(y.select(F.explode("c").alias("s"))).groupBy("s").count()
-
-    def indexed(df: DataFrame, key: str) -> DataFrame:
-        """A row for each length a partner can have and each of the signs that one of its partners of it must share."""
-        low, high = F.ceil(F.col("n") * t / (200 - t) - 1e-9).cast("int"), F.floor(F.col("n") * (200 - t) / t + 1e-9).cast("int")
-        signs_ = df.select(key, "n", F.explode("c").alias("s")).join(count, "s")
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("count", "s"))
-        signs_ = signs_.withColumn("rank", rank).withColumn("m", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-        need = F.ceil((F.col("n") + F.col("m")) * t / 200 - 1e-9)
-        return signs_.where(F.col("rank") <= F.col("n") - need + 1)
-
-    left = indexed(x, "ka").select("ka", F.col("n").alias("na"), F.col("m").alias("nb"), "s")
-    right = indexed(y, "kb").select("kb", F.col("m").alias("na"), F.col("n").alias("nb"), "s")
-    pairs = left.join(right, ["na", "nb", "s"]).select("ka", "kb").distinct()
-    scored = pairs.withColumn("score", T.similarity("ka", "kb"))
+    At most ``own`` - needed characters of a key are missing from its partner. So of that many and ``k`` more of its rarest
+    characters (numbered by their repeats; ``signs``, rarest first) at least ``k`` are in the partner, among its own
+    rarest ones: the keys share a combination of ``k`` of them.
+    """
+    need = _needed(F.col("na"), F.col("nb"), t)
+    k = F.lit(1)
+    for size, most in reversed(SIGNS):
+        k = F.when(F.col("edits") <= most, size).otherwise(k)
+    k, top = F.least(k, need), max(size for size, _ in SIGNS)
+    rows = rows.withColumn("s", F.slice("signs", F.lit(1), F.col(own) - need + k))
+    made = F.transform("s", lambda x, i: F.struct(i.alias("i"), x.alias("part")))
+    grown = lambda c: F.flatten(F.transform(c, lambda x: F.transform(F.filter(F.transform("s", lambda y, j: F.struct(j.alias("i"), y.alias("part"))), lambda y: y["i"] > x["i"]), lambda y: F.struct(y["i"].alias("i"), F.concat(x["part"], y["part"]).alias("part")))))
+    rows = rows.withColumn("c1", made)
+    for size in range(2, top + 1):
+        rows = rows.withColumn(f"c{size}", F.when(k >= size, grown(F.col(f"c{size - 1}"))))
+    combined = F.coalesce(*(F.col(f"c{size}") for size in range(top, 0, -1)))
+    return rows.select(key, "na", "nb", "bits", F.lit(-1).alias("i"), F.explode(F.array_distinct(F.transform(combined, lambda x: x["part"]))).alias("part"))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, t: float) -> DataFrame:
+    """(ka, kb) of distinct keys of two columns ``headword_key``, all that can have a ratio of ``t`` among them.
+
+    A ratio of t over lengths m and n needs a common subsequence of s = ceil(t (m + n) / 200) characters, which bounds
+    lengths and edits. Keys meet on lengths and on a segment that no edit touches, where segments are long enough, or else
+    on a combination of rare characters. Of those that meet, pairs are left whose characters differ in no more than the
+    edits: each character that one has and the other lacks turns one of 64 bits.
+    """
+
+    def keys(df: DataFrame, key: str, own: str) -> DataFrame:
+        out = df.select(F.col("headword_key").alias(key)).distinct().withColumn(own, F.length(key)).where(F.col(own) > 0)
+        out = out.withColumn("chars", F.filter(F.split(key, ""), lambda c: c != ""))
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))
+        bits = F.aggregate("chars", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+        in_order = F.array_sort("chars")
+        signs = F.transform(in_order, lambda c, i: F.concat(c, (i - F.array_position(in_order, c) + 1).cast("string")))
+        return out.select(key, own, bits.alias("bits"), signs.alias("signs"))
+
+    x, y = keys(a, "ka", "na"), keys(b, "kb", "nb")
+    count = x.select(F.explode("signs").alias("s")).unionByName(y.select(F.explode("signs").alias("s"))).groupBy("s").count()
+
+    def ordered(df: DataFrame, key: str, own: str) -> DataFrame:
+        rare = df.select(key, F.explode("signs").alias("s")).join(count, "s").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("c"))
+        return df.drop("signs").join(rare.select(key, F.transform("c", lambda v: v["s"]).alias("signs")), key)
+
+    left, right = _with_edits(_partners(x, "na", "nb", t), t), _with_edits(_partners(y, "nb", "na", t), t)
+    sx, sy = _on_segments(left.where("by_segment").drop("signs"), right.where("by_segment").drop("signs"))
+    cx = _on_signs(_with_edits(_partners(ordered(x, "ka", "na"), "na", "nb", t), t).where("not by_segment"), "ka", "na", t)
+    cy = _on_signs(_with_edits(_partners(ordered(y, "kb", "nb"), "nb", "na", t), t).where("not by_segment"), "kb", "nb", t)
+    left, right = sx.unionByName(cx), sy.unionByName(cy)
+    met = left.join(right.withColumnRenamed("bits", "other"), ["na", "nb", "i", "part"])
+    edits = F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), t)
+    return met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= edits).select("ka", "kb").distinct()
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(ka, kb, score) of distinct keys at the threshold or above, by an exact filter and then the ratio."""
+    t = float(threshold)
+    scored = candidate_pairs(a, b, t).withColumn("score", T.similarity("ka", "kb"))
     return scored.where(F.col("score") >= t)
 
 
@@ -109,36 +180,29 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 def greedy(pairs: DataFrame) -> DataFrame:
     """Keys of a in ascending order each take the best key of b not yet taken, the lesser of equals.
 
-    Choices depend on each other only within a connected component of the pairs, so components are settled apart."""
-    import pandas as pd
-
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.concat(F.lit("a:"), "ka").alias("a"), F.concat(F.lit("b:"), "kb").alias("b"))
-    of = components(nodes).select(F.col("node").alias("na"), "component")
-    labelled = pairs.join(of, F.concat(F.lit("a:"), F.col("ka")) == F.col("na")).select("component", "ka", "kb", "score")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, taken = [], set()
-        for ka, part in pdf.sort_values(["ka", "score", "kb"], ascending=[True, False, True]).groupby("ka", sort=False):
-            for kb, score in zip(part.kb, part.score):
-                if kb not in taken:
-                    taken.add(kb)
-                    out.append((ka, kb, score))
-                    break
-        return pd.DataFrame(out, columns=["ka", "kb", "score"])
-
-    return labelled.groupBy("component").applyInPandas(settle, "ka string, kb string, score double")
+    In rounds: every key of a asks its best, every key of b holds the least that asks it, and pairs of that key of b with
+    greater keys of a go, as it will never be held by one of those. When no key of b is asked twice, all have what they would
+    have got in turn. Rounds are as many as the longest chain of refusals; each is two aggregates and a join, so no
+    component of the pairs need fit into a task.
+    """
+    pairs = stored(pairs.select("ka", "kb", "score"), "pairs")
+    while True:
+        best = pairs.groupBy("ka").agg(F.min(F.struct((-F.col("score")).alias("d"), F.col("kb"))).alias("b")).select("ka", "b.kb", (-F.col("b.d")).alias("score"))
+        asked = stored(best.groupBy("kb").agg(F.min("ka").alias("holder"), F.count(F.lit(1)).alias("n")), "asked")
+        if asked.where("n > 1").isEmpty():
+            return best
+        pairs = stored(pairs.join(asked, "kb", "left").where("holder is null or ka <= holder").select("ka", "kb", "score"), "pairs")
 
 
 def align(a: DataFrame, b: DataFrame, algorithm: str = "mutual_best", threshold: float = 80.0, fuzzy: bool = True) -> DataFrame:
     """headword_key, key_b, score, method (exact, fuzzy, none) of first entries per key: exact pairs, then fuzzy pairs of
-    what is left, then what has no partner on either side."""
+    what is left, then what has no partner on either side. Scores and the threshold are compared as whole numbers."""
     a, b = stored(a.select("headword_key", "entry_id"), "a"), stored(b.select("headword_key", "entry_id"), "b")
     exact = align_exact(a, b).select("headword_key", F.col("headword_key").alias("key_b"), F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
     out = exact
     if fuzzy:
         left, right = a.join(exact, "headword_key", "left_anti"), b.join(exact, "headword_key", "left_anti")
-        pairs = similar_pairs(left, right, threshold)
+        pairs = similar_pairs(left, right, int(threshold))
         chosen = stored((greedy if algorithm == "greedy" else mutual_best)(pairs), "fuzzy")
         out = exact.unionByName(chosen.select(F.col("ka").alias("headword_key"), F.col("kb").alias("key_b"), "score", F.lit("fuzzy").alias("method")))
     alone_a = a.join(out.select("headword_key"), "headword_key", "left_anti").select("headword_key", F.lit(None).cast("string").alias("key_b"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .carry import carried
 from .parsing import entry_id
 
 EDITABLE = ("headword_edit", "pron_edit", "definition_edit", "status")
@@ -28,8 +29,10 @@ def replay(entries: DataFrame, log: DataFrame) -> DataFrame:
     """Entries after the events (event_id, entry_id, op, field, value) of a log, in the order of event_id.
 
     EDIT sets a field (a blank value makes it null), VALIDATE and REVIEW set the status, DELETE and RESTORE the mark.
-    Each field is the value of its last event: one aggregate over the log, however many events an entry has.
+    Each field is the value of its last event: one aggregate over the log, however many events an entry has. UNDO events
+    are settled first.
     """
+    log = settled(log)
     op, value = F.col("op"), F.nullif(T.strip(F.coalesce("value", F.lit(""))), F.lit(""))
     status = F.when(op == "VALIDATE", "validated").when(op == "REVIEW", "reviewed").when((op == "EDIT") & (F.col("field") == "status"), value)
 
@@ -53,8 +56,26 @@ def fill_counts(filled: DataFrame) -> DataFrame:
     )
 
 
+def settled(log: DataFrame) -> DataFrame:
+    """The events of a log that hold, with what UNDO events make of it; ``replay`` of them gives the store.
+
+    An UNDO puts back what the entry's latest event found and becomes an event itself, which the next UNDO takes back: of
+    UNDOs in a row the odd ones undo and the even ones do again. So an EDIT, VALIDATE or REVIEW holds unless an odd number of
+    UNDOs follows it before the entry's next event. A deletion, a restoration and a creation (CREATE_ENTRY) have nothing that
+    UNDO could put back and hold always; UNDO before any event does nothing. Each UNDO finds its event by carrying the
+    last one along blocks of the log, so an entry with most of the events is spread over tasks. Rows without event_id come
+    first and hold.
+    """
+    undo = F.coalesce(F.col("op") == "UNDO", F.lit(False))
+    found = carried(log, ["entry_id"], "event_id", F.when(~undo, F.col("event_id")), "undone")
+    odd = found.where((F.col("op") == "UNDO") & F.col("undone").isNotNull()).groupBy("entry_id", "undone").count().where("count % 2 = 1")
+    odd = odd.select(F.col("entry_id").alias("_entry"), F.col("undone").alias("_event"))
+    same = F.col("entry_id").eqNullSafe(F.col("_entry")) & (F.col("event_id") == F.col("_event")) & F.col("op").isin("EDIT", "VALIDATE", "REVIEW")
+    return log.where(~undo).join(odd, same, "left_anti")
+
+
 def undo_last(log: DataFrame) -> DataFrame:
-    """The log without each entry's last event."""
+    """The log without each entry's last event, deletions too; UNDO events (``settled``) are what a store keeps."""
     last = log.groupBy("entry_id").agg(F.max("event_id").alias("event_id"))
     return log.join(last, ["entry_id", "event_id"], "left_anti")
 
@@ -66,26 +87,46 @@ def fill_pron(entries: DataFrame) -> DataFrame:
 
 
 def split_entries(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    """Entries of ``parts`` (entry_id, headwords array of two or more) replaced by one for each headword, their source
-    path marked with the old id and place."""
-    ok = parts.where(F.size("headwords") >= 2)
+    """Entries of ``parts`` (entry_id, headwords) replaced by one for each headword that is not blank, where there are two
+    or more. A part has the effective pronunciation and definition as its raw ones, no edits, the status auto, and its id by
+    the source path, which is marked with the old id and the part's place; the rest is the entry's own."""
+    cols = entries.columns
+    heads = F.filter(F.transform("headwords", lambda h: T.strip(F.coalesce(h, F.lit("")))), lambda h: h != "")
+    ok = parts.select("entry_id", heads.alias("_heads")).where(F.size("_heads") >= 2)
     kept = entries.join(ok, "entry_id", "left_anti")
-    new = entries.join(ok, "entry_id").select(*entries.columns, F.posexplode("headwords").alias("k", "h"))
-    path = F.concat("source_path", F.lit("#split:"), "entry_id", F.lit(":"), (F.col("k") + 1).cast("string"))
-    new = new.withColumn("source_path", path).withColumn("headword_raw", F.col("h"))
-    new = new.withColumn("entry_id", F.sha2(F.concat_ws("|", "dict_id", "source_path", F.col("line_no").cast("string"), "headword_raw"), 256))
-    return kept.unionByName(new.select(*entries.columns))
+    new = entries.join(ok, "entry_id").select(*cols, F.posexplode("_heads").alias("_k", "_h"))
+    path = F.concat("source_path", F.lit("#split:"), "entry_id", F.lit(":"), (F.col("_k") + 1).cast("string"))
+    made = {"source_path": path, "headword_raw": F.col("_h")}
+    for f in ("pron", "definition"):
+        if f"{f}_raw" in cols:
+            edited = T.nonblank(F.col(f"{f}_edit")) if f"{f}_edit" in cols else F.lit(None).cast("string")
+            made[f"{f}_raw"] = F.coalesce(T.strip(edited), T.strip(T.nonblank(F.col(f"{f}_raw"))))
+    made |= {f"{f}_edit": F.lit(None).cast("string") for f in ("headword", "pron", "definition") if f"{f}_edit" in cols}
+    if "status" in cols:
+        made["status"] = F.lit("auto")
+    new = new.withColumns(made)
+    pos = F.col("pos_raw") if "pos_raw" in cols else F.lit("p")
+    new = new.withColumn("entry_id", entry_id(*(F.col(c) for c in ("dict_id", "source_path", "line_no", "headword_raw")), pos))
+    return kept.select(*cols).unionByName(new.select(*cols))
 
 
 def create_entries(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The store with entries made by hand (dict_id, headword_raw, ..), and the log of them. A new entry has the corpus'
-    next line, one syllable, part of speech p, and its id by place and headword; blank headwords make none."""
+    """The store with entries made by hand (dict_id, headword_raw, ..), and the log of them. A new entry is reviewed, has the
+    corpus' next line in the order of headwords, one syllable, part of speech p, the path of the corpus' curation and its
+    id by place and headword; blank headwords make none. Lines come from sizes of ranges of headwords, so a corpus with
+    most of the new entries is numbered by many tasks."""
+    from ..sources.readers import numbered
+
     last = entries.groupBy("dict_id").agg(F.max("line_no").alias("_last"))
-    rows = new.withColumn("headword_raw", T.strip(F.coalesce("headword_raw", F.lit("")))).where("headword_raw <> ''").join(last, "dict_id", "left")
-    given = lambda c, value: F.coalesce(F.col(c), F.lit(value)) if c in new.columns else F.lit(value)
-    line = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("dict_id").orderBy("headword_raw"))
-    rows = rows.withColumns({"line_no": line.cast("int"), "source_path": given("source_path", "manual"), "syllables": given("syllables", 1), "pos_raw": given("pos_raw", "p")})
-    rows = rows.withColumns({"entry_id": entry_id(*(F.col(c) for c in ("dict_id", "source_path", "line_no", "headword_raw", "pos_raw"))), "manual_created": F.lit(True), "status": F.lit("auto")}).drop("_last")
+    rows = new.withColumn("headword_raw", T.strip(F.coalesce("headword_raw", F.lit("")))).where("headword_raw <> ''")
+    spread = numbered(rows.withColumn("_at", F.struct("dict_id", "headword_raw", F.monotonically_increasing_id().alias("_i"))), "_at")
+    first = spread.groupBy("dict_id").agg(F.min("n").alias("_first"))
+    rows = spread.drop("_at").join(first, "dict_id").join(last, "dict_id", "left")
+    given = lambda c, value: F.coalesce(F.col(c), value) if c in new.columns else value
+    line = F.coalesce("_last", F.lit(0)) + F.col("n") - F.col("_first") + 1
+    path = F.concat(F.lit("manual://"), "dict_id", F.lit("/curation"))
+    rows = rows.withColumns({"line_no": line.cast("int"), "source_path": given("source_path", path), "syllables": given("syllables", F.lit(1)), "pos_raw": given("pos_raw", F.lit("p")), "status": given("status", F.lit("reviewed"))})
+    rows = rows.withColumns({"entry_id": entry_id(*(F.col(c) for c in ("dict_id", "source_path", "line_no", "headword_raw", "pos_raw"))), "manual_created": F.lit(True)}).drop("_last", "_first", "n")
     log = rows.select("dict_id", "entry_id", F.lit("CREATE_ENTRY").alias("op"), F.col("headword_raw").alias("value"))
     columns = [c for c in rows.columns if c in entries.columns]
     return entries.unionByName(rows.select(*columns), allowMissingColumns=True), log

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .carry import carried
 
 # The line forms, the Greek capitals of section heads, and the known parts of speech.
 SECTION = r"(?d)^[A-ZΑ-ΩΪΫ]{1,4}$"
@@ -67,7 +68,8 @@ def _mapped(c: Column, table: dict[str, str], otherwise: Column | None = None) -
 def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_path") -> DataFrame:
     """Lines (key, line_no, raw) with kind (blank, section, page, preset, entry, other), section and the entry's fields.
 
-    A section line sets the section of the lines after it in its source: a running last value, ordered by line number.
+    A section line sets the section of the lines after it in its source: the last value is carried along blocks of lines, so
+    a source of any length is spread over tasks.
     """
     s = T.strip(F.coalesce("raw", F.lit("")))
     out = lines.withColumn("line", s)
@@ -84,8 +86,7 @@ def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_
         out = out.withColumn("fit", fit)
         kind = kind.when(F.col("fit").isNotNull(), "preset")
     out = out.withColumn("kind", kind.when(F.rlike(line, F.lit(ENTRY)), "entry").otherwise("other"))
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    section = F.coalesce(F.last(F.when(F.col("kind") == "section", section_name(line)), ignorenulls=True).over(w), F.lit(""))
+    out = carried(out, [key], "line_no", F.when(F.col("kind") == "section", section_name(line)), "section").na.fill("", ["section"])
     is_preset = F.col("kind") == "preset"
 
     def part(name: str, group: int) -> Column:
@@ -95,7 +96,7 @@ def classify(lines: DataFrame, preset: Preset | None = None, key: str = "source_
         return F.when(is_preset, T.strip(F.regexp_extract("fit", form, preset.groups[name]))).otherwise(fixed)
 
     head, pos = part("headword", 2), part("pos", 3)
-    fields = {"section": section, "syllables": part("syllables", 1).try_cast("int"), "headword_raw": head, "pos_raw": pos}
+    fields = {"syllables": part("syllables", 1).try_cast("int"), "headword_raw": head, "pos_raw": pos}
     if preset:
         none = F.lit(None).cast("string")
         given = lambda name: F.when(is_preset, F.nullif(part(name, 0), F.lit(""))) if name in preset.groups else none

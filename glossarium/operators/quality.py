@@ -14,9 +14,12 @@ CONVENTION_CODES = (*PROFILE_CODES, "MISSING_PRON", "BAD_SYLL_COUNT")
 ISSUE_COLUMNS = ("dict_id", "source_path", "line_no", "kind", "code", "raw", "details")
 
 
-def raw_line(syllables: Column, headword: Column, pos: Column) -> Column:
-    """The line that an entry would have been read from."""
-    return F.concat(F.coalesce(syllables.cast("string"), F.lit("")), F.lit(" "), F.coalesce(headword, F.lit("")), F.lit(", "), F.coalesce(pos, F.lit("")))
+def raw_line(syllables: Column, headword: Column, pos: Column, record: Column | None = None) -> Column:
+    """The record that an entry comes from, if there is one, else the line that it would have been read from: 0 syllables and
+    part of speech v where they are missing."""
+    some = lambda c: T.nonblank(T.strip(F.coalesce(c, F.lit(""))))
+    made = F.concat(F.coalesce(syllables.cast("int"), F.lit(0)).cast("string"), F.lit(" "), F.coalesce(headword, F.lit("")), F.lit(", "), F.coalesce(some(pos), F.lit("v")))
+    return F.coalesce(some(record), T.strip(made)) if record is not None else T.strip(made)
 
 
 def _issue(when: Column, code: str, **details: Column) -> Column:
@@ -79,7 +82,7 @@ def convention(entries: DataFrame, p: profiles.Profile) -> DataFrame:
     out = entries.drop("headword_norm", "pron_norm", "pron_render", "form_display", "form_norm", "form_render", "features")
     out = out.withColumns({"headword_effective": strip("headword"), "pron_effective": strip("pron")})
     out = out.withColumn("qa_text", F.when(F.col("pron_effective") != "", F.col("pron_effective")).otherwise(F.col("headword_effective")))
-    out = out.withColumn("raw_line", raw_line(F.col("syllables"), F.col("headword_effective"), F.col("pos_raw")))
+    out = out.withColumn("raw_line", raw_line(F.col("syllables"), F.col("headword_effective"), F.col("pos_raw"), F.col("source_record") if "source_record" in out.columns else None))
     out = profiles.apply_profile(out.withColumn("headword_norm", profiles.norm(F.col("headword_effective"), p)), "qa_text", p)
     out = out.withColumns({"pron_norm": F.col("form_norm"), "pron_render": F.col("form_render"), "profile_id": F.lit(p.profile_id), "profile_version": F.lit(p.version), "profile_sha256": F.lit(p.sha256())})
     out = out.withColumn("alerts", F.array_sort(F.transform(found_issues(out, p, True), lambda i: i["code"])))

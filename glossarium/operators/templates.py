@@ -24,9 +24,19 @@ def _bad(code: str, **more) -> Column:
     return _row(status="UNRECOGNIZED" if code == "UNRECOGNIZED_RECORD" else "IGNORED", reason=code, **more)
 
 
+#: Columns that templates make; a record's own of these names go.
+MADE = ("draft_no", "headword", "pron", "definition", "pos", "status", "reason")
+
+
+def _own(records: DataFrame) -> list[str]:
+    return [c for c in records.columns if c.lower() not in MADE]
+
+
 def emit(records: DataFrame, rows: Column) -> DataFrame:
-    """One row for each struct of ``rows`` beside the record's columns, with its place."""
-    return records.select("*", F.posexplode(rows).alias("draft_no", "d")).select(*records.columns, "draft_no", "d.*")
+    """One row for each struct of ``rows`` beside the record's columns, with its place. Columns of the record that have a
+    draft's names (MADE) may be read by ``rows`` but go."""
+    own = _own(records)
+    return records.select(*own, F.posexplode(rows).alias("draft_no", "d")).select(*own, "draft_no", "d.*")
 
 
 def _stripped(t: Column, trim: bool) -> Column:
@@ -48,8 +58,9 @@ def wordlist(records: DataFrame, text: str = "raw", strip_trailing: bool = True,
         )
 
     # tokens become rows first: what is asked of each is then compiled, inside a transform it would be interpreted
-    rows = records.select("*", F.posexplode(tokens).alias("draft_no", "_token")).withColumn("d", row(F.col("_token")))
-    return rows.select(*records.columns, "draft_no", "d.*")
+    own = _own(records)
+    rows = records.select(*own, F.posexplode(tokens).alias("draft_no", "_token")).withColumn("d", row(F.col("_token")))
+    return rows.select(*own, "draft_no", "d.*")
 
 
 def _cut(c: Column, separator: str, custom: str) -> Column:
@@ -152,25 +163,66 @@ def record_key(source_id: Column, index: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", source_id, index.cast("string"), T.squeeze(F.coalesce(text, F.lit("")))), 256)
 
 
-def latest_overrides(overrides: DataFrame) -> DataFrame:
-    """The last override of each record key: the greatest override_id, an aggregate that combines before the shuffle."""
-    last = F.max_by(F.struct("op", "entries"), "override_id").alias("o")
-    return overrides.groupBy("record_key").agg(last).select("record_key", "o.op", "o.entries")
+#: Columns of an override beside its key: the entries in place of a record's, and what an edit of one entry says of it.
+ENTRY = ("headword", "pron", "definition", "pos")
 
 
-def apply_overrides(drafts: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Drafts (record_key, draft_no, headword, pron, ..) with each record's last override (op, entries: headword and pron)
-    applied: SKIP leaves one ignored row, SPLIT and EDIT replace the record's rows. A pronunciation that is not given
-    follows the headword where it did so before."""
-    first = drafts.where("draft_no = 0").select("record_key", F.col("headword").alias("h0"), F.col("pron").alias("p0"), "definition", "pos")
+def latest_overrides(overrides: DataFrame) -> DataFrame:
+    """The last override of each record key: the greatest override_id, an aggregate that combines before the shuffle."""
+    given = [c for c in ("op", "entries", *ENTRY) if c in overrides.columns]
+    last = F.max_by(F.struct(*given), "override_id").alias("o")
+    return overrides.where("record_key is not null").groupBy("record_key").agg(last).select("record_key", "o.*")
+
+
+def delete_overrides(overrides: DataFrame, gone: DataFrame) -> DataFrame:
+    """Overrides without those that ``gone`` names: by override_id, or all of a record_key."""
+    for key in ("override_id", "record_key"):
+        if key in gone.columns:
+            overrides = overrides.join(gone.select(key).distinct(), key, "left_anti")
+    return overrides
+
+
+def apply_overrides(drafts: DataFrame, overrides: DataFrame, preview: bool = False) -> DataFrame:
+    """Drafts (record_key, draft_no, headword, pron, definition, pos, status, reason) with each record's last override (op,
+    entries, or headword, pron, definition and pos of an edit) applied; override_op says which.
+
+    SKIP_RECORD leaves one ignored row. SPLIT_RECORD (or SPLIT) and EDIT_RECORD with entries replace the record's rows by
+    one for each entry that has a headword; a pronunciation that is not given follows the headword where the first row's
+    did so, or else is the first row's, as are definition and part of speech (``preview``: only what the entry itself
+    has as definition). EDIT_RECORD without any such entry edits the first row alone. A split without any, and an unknown
+    op, leave the rows as they are, so no record is lost. Overrides without a key, or of records that are not there, do
+    nothing; rows without a key are left.
+    """
+    some = lambda c: T.nonblank(T.strip(F.coalesce(c, F.lit(""))))
+    out = ["record_key", "draft_no", *ENTRY, "status", "reason"]
+    first = drafts.groupBy("record_key").agg(F.min_by(F.struct(*ENTRY), "draft_no").alias("f"))
     last = latest_overrides(overrides)
-    kept = drafts.join(last.select("record_key"), "record_key", "left_anti").select("record_key", "draft_no", "headword", "pron", "definition", "pos", "status", "reason")
-    skipped = F.col("op") == "SKIP_RECORD"
-    rows = F.when(skipped, F.array(F.struct(F.lit(None).cast("string").alias("headword"), F.lit(None).cast("string").alias("pron")))).otherwise(F.col("entries"))
-    changed = first.join(last, "record_key").select("*", F.posexplode(rows).alias("draft_no", "e"))
-    pron = F.coalesce(F.col("e.pron"), F.when(F.col("p0") == F.col("h0"), F.col("e.headword")).otherwise(F.col("p0")))
+    has = {c: F.col(c) if c in last.columns else F.lit(None).cast("string") for c in ENTRY}
+    kind = last.schema["entries"].dataType if "entries" in last.columns else None
+    fields = kind.elementType.names if kind is not None else []
+    of = lambda e, c: e[c] if c in fields else F.lit(None).cast("string")
+    given = F.transform("entries", lambda e: F.struct(*(some(of(e, c)).alias(c) for c in ENTRY))) if fields else F.array().cast("array<struct<headword:string,pron:string,definition:string,pos:string>>")
+    given = F.coalesce(F.filter(given, lambda e: e["headword"].isNotNull()), F.array())
+    split, edit = F.col("op").isin("SPLIT_RECORD", "SPLIT", "EDIT_RECORD"), F.col("op") == "EDIT_RECORD"
+    last = last.select("record_key", "op", given.alias("given"), F.struct(*(some(has[c]).alias(c) for c in ENTRY)).alias("scalar"))
+    way = F.when(F.col("op") == "SKIP_RECORD", "skip").when(split & (F.size("given") > 0), "entries").when(edit, "edit").otherwise("keep")
+    last = last.withColumn("way", F.coalesce(way, F.lit("keep")))
+
+    marked = drafts.join(last.select("record_key", "op", "way"), "record_key", "left")
+    kept = marked.where("way is null or way = 'keep'").select(*out, F.col("op").alias("override_op"))
+    changed = last.where("way <> 'keep'").join(first, "record_key")
+    follows = some(F.col("f.headword")).isNotNull() & (some(F.col("f.pron")) == some(F.col("f.headword")))
+    none = F.struct(*(F.lit(None).cast("string").alias(c) for c in ENTRY))
+    head = F.coalesce(F.col("scalar.headword"), T.strip(F.col("f.headword")))
+    one = F.struct(head.alias("headword"), F.col("scalar.pron").alias("pron"), F.coalesce("scalar.definition", "f.definition").alias("definition"), F.coalesce("scalar.pos", "f.pos").alias("pos"))
+    rows = F.when(F.col("way") == "skip", F.array(none)).when(F.col("way") == "edit", F.array(one)).otherwise(F.col("given"))
+    skipped = F.col("way") == "skip"
+    changed = changed.withColumn("follows", F.coalesce(follows, F.lit(False))).select("*", F.posexplode(rows).alias("draft_no", "e"))
+    pron = F.coalesce("e.pron", F.when(F.col("follows"), F.col("e.headword")), "f.pron")
+    definition = F.col("e.definition") if preview else F.coalesce("e.definition", "f.definition")
     changed = changed.select(
-        "record_key", "draft_no", F.col("e.headword").alias("headword"), F.when(~skipped, pron).alias("pron"), "definition", "pos",
-        F.when(skipped, "IGNORED").otherwise("OK").alias("status"), F.when(skipped, "SKIP_RECORD").alias("reason"),
+        "record_key", "draft_no", F.col("e.headword").alias("headword"), F.when(~skipped, pron).alias("pron"),
+        F.when(skipped & F.lit(preview), None).otherwise(F.when(skipped, F.col("f.definition")).otherwise(definition)).alias("definition"), F.coalesce("e.pos", "f.pos").alias("pos"),
+        F.when(skipped, "IGNORED").otherwise("OK").alias("status"), F.when(skipped, "SKIP_RECORD").alias("reason"), F.col("op").alias("override_op"),
     )
     return kept.unionByName(changed)

@@ -27,13 +27,14 @@ class Run:
         return n(self.entries, "entries").crossJoin(n(self.issues, "issues"))  # one row each
 
 
-def run_pipeline(lines: DataFrame, dict_id: str, profile: profiles.Profile, preset: parsing.Preset | None = None, rule: filters.SourceFilter | None = None, lexicon: DataFrame | None = None) -> Run:
-    """Entries and issues of a corpus' lines (source_path, line_no, raw).
+def run_pipeline(lines: DataFrame, dict_id: str, profile: profiles.Profile, preset: parsing.Preset | None = None, rule: filters.SourceFilter | filters.Rules | None = None, lexicon: DataFrame | None = None) -> Run:
+    """Entries and issues of a corpus' lines (source_path, line_no, raw); the rule is one for all sources or each source's own.
 
     Dropped lines are read as blank ones, so that line numbers hold; then lines are parsed and linted, headwords held
     against the lexicon of long s, and the profile laid over the pronunciation, or the headword where there is none.
     """
-    filtered = filters.filter_source(lines, rule or filters.SourceFilter())
+    one = rule is None or isinstance(rule, filters.SourceFilter)
+    filtered = filters.filter_source(lines, rule or filters.SourceFilter()) if one else filters.filter_sources(lines, rule)
     blanked = filtered.withColumn("raw", F.when(F.col("drop_stage").isNull(), F.col("raw")).otherwise(""))
     classified = parsing.classify(blanked, preset)
     entries = parsing.parsed_entries(classified)
@@ -72,7 +73,7 @@ def apply_template(records: DataFrame, dict_id: str, kind: str, overrides: DataF
 def apply_profile_to_entries(entries: DataFrame, p: profiles.Profile) -> tuple[DataFrame, DataFrame]:
     """Entries with a profile's forms of their raw pronunciation or headword, and the issues of them."""
     form = F.coalesce(F.nullif("pron_raw", F.lit("")), F.col("headword_raw"))
-    raw = quality.raw_line(F.col("syllables"), F.col("headword_raw"), F.col("pos_raw"))
+    raw = quality.raw_line(F.col("syllables"), F.col("headword_raw"), F.col("pos_raw"), F.col("source_record") if "source_record" in entries.columns else None)
     out = profiles.apply_profile(entries.withColumns({"form": form, "raw_line": raw}), "form", p)
     return out, quality.profile_issues(out, p)
 

@@ -179,10 +179,10 @@ def _j11(spark, d):
 # ---- curation
 
 
-@query("m1_create", f"{_S}, n AS (SELECT dict_id, max(line_no) AS last FROM store GROUP BY 1), made AS (SELECT 'd' || c_custkey % 3 AS dict_id, c_name FROM customer) SELECT entry_id, dict_id, line_no, headword_raw, manual_created FROM store UNION ALL SELECT sha256(dict_id || '|manual|' || line || '|' || c_name || '|p'), dict_id, line, c_name, true FROM (SELECT dict_id, c_name, (last + row_number() OVER (PARTITION BY dict_id ORDER BY c_name))::INT AS line FROM made JOIN n USING (dict_id))")
+@query("m1_create", f"{_S}, n AS (SELECT dict_id, max(line_no) AS last FROM store GROUP BY 1), made AS (SELECT 'd' || c_custkey % 3 AS dict_id, c_name FROM customer) SELECT entry_id, dict_id, line_no, headword_raw, manual_created, status, source_path FROM store UNION ALL SELECT sha256(dict_id || '|manual://' || dict_id || '/curation|' || line || '|' || c_name || '|p'), dict_id, line, c_name, true, 'reviewed', 'manual://' || dict_id || '/curation' FROM (SELECT dict_id, c_name, (last + row_number() OVER (PARTITION BY dict_id ORDER BY c_name))::INT AS line FROM made JOIN n USING (dict_id))")
 def _m1(spark, d):
     new = table(spark, d, "customer").select(F.concat(F.lit("d"), (F.col("c_custkey") % 3).cast("string")).alias("dict_id"), F.col("c_name").alias("headword_raw"))
-    return curation.create_entries(tb.store(spark, d), new)[0].select("entry_id", "dict_id", "line_no", "headword_raw", "manual_created")
+    return curation.create_entries(tb.store(spark, d), new)[0].select("entry_id", "dict_id", "line_no", "headword_raw", "manual_created", "status", "source_path")
 
 
 @query("m3_delete_restore", "WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events WHERE event_type IN ('click', 'view') GROUP BY 1) SELECT c_custkey AS entry_id, coalesce(t = 'click', false) AS is_deleted FROM customer LEFT JOIN last ON c_custkey = user_id")

@@ -1,5 +1,5 @@
 """Configuration files (YAML) of a project: profiles, parser presets, source filters, symbols. All of it is read by the
-driver and compiled to columns; nothing here touches data."""
+driver and compiled to columns; of data only the distinct paths of sources are looked at."""
 
 from __future__ import annotations
 
@@ -9,12 +9,20 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from ..functions.profiles import Profile
 from ..operators.filters import SourceFilter
 from ..operators.parsing import Preset
 
-RULE_KEYS = ("exclude_line_ranges", "drop_before_regex", "drop_after_regex", "drop_line_regexes", "case_insensitive")
+# The fields of a preset, by the groups of its pattern that they are; the keys of a source filter, by the
+# parts of a rule that they give.
 PRESET_FIELDS = {"syllables": "syllables", "headword_raw": "headword", "pos_raw": "pos", "origin_raw": "origin", "pron_raw": "pron"}
+FILTER_KEYS = {
+    "drop_before_regex": "drop_before", "drop_after_regex": "drop_after", "exclude_line_ranges": "line_ranges", "drop_line_regexes": "drop_lines",
+    "case_insensitive": "ignore_case",
+}
 
 
 class ConfigError(ValueError):
@@ -236,17 +244,43 @@ class FilterConfig:
     sources: tuple[tuple[str, dict], ...]
     root: str = ""
 
-    def rule(self, source_path: str) -> tuple[SourceFilter, list[str]]:
-        """A source's rule and the patterns that fit it; later ones replace the keys of earlier ones."""
-        merged, fits = dict(self.default), []
-        for pattern, keys in self.sources:
-            if any(fnmatch.fnmatchcase(n.casefold(), pattern.replace("\\", "/").strip().casefold()) for n in _names(source_path, self.root)):
+    def choice(self, source_path: str | None) -> tuple[list[str], dict[str, int]]:
+        """The patterns that fit a source, and for each key the place of the one it comes from: the last that fits and has
+        it, counted from 1; 0 is what all sources have."""
+        fits, places = [], dict.fromkeys(FILTER_KEYS, 0)
+        names = [n.casefold() for n in _names(source_path or "", self.root)]
+        for place, (pattern, keys) in enumerate(self.sources, 1):
+            if any(fnmatch.fnmatchcase(n, pattern.replace("\\", "/").strip().casefold()) for n in names):
                 fits.append(pattern)
-                merged |= keys
-        one = lambda key: (merged[key],) if merged.get(key) else ()
+                places |= dict.fromkeys(keys, place)
+        return fits, places
+
+    def candidates(self, part: str) -> list:
+        """What a part of the rule is for all sources, then with each pattern's keys; nothing where filters are off."""
+        key = {v: k for k, v in FILTER_KEYS.items()}[part]
+        values = [keys.get(key) for keys in (self.default, *(keys for _, keys in self.sources))]
+        if part == "ignore_case":
+            return [True if v is None else v for v in values]
         if not self.enabled:
-            return SourceFilter(), fits
-        return SourceFilter(one("drop_before_regex"), one("drop_after_regex"), tuple(merged.get("exclude_line_ranges", ())), tuple(merged.get("drop_line_regexes", ())), merged.get("case_insensitive", True)), fits
+            return [()] * len(values)
+        return [() if not v else (v,) if isinstance(v, str) else tuple(v) for v in values]
+
+    def rule(self, source_path: str) -> tuple[SourceFilter, list[str]]:
+        """A source's rule and the patterns that fit it; later ones replace the keys of earlier ones."""
+        fits, places = self.choice(source_path)
+        return SourceFilter(**{part: self.candidates(part)[places[key]] for key, part in FILTER_KEYS.items()}), fits
+
+    def tagged(self, sources: DataFrame) -> DataFrame:
+        """Sources with the places of their rule's parts: paths are few beside lines, so each is looked at once, in batches."""
+        parts = list(FILTER_KEYS.items())
+
+        def tag(frames):
+            for f in frames:
+                chosen = [self.choice(p) for p in f["_source"]]
+                out = {"_source": f["_source"], "rule_patterns": [fits for fits, _ in chosen]}
+                yield pd.DataFrame(out | {f"_{part}": [places[key] for _, places in chosen] for key, part in parts})
+
+        return sources.mapInPandas(tag, ", ".join(["_source string, rule_patterns array<string>", *(f"_{part} int" for _, part in parts)]))
 
 
 def _names(path: str, root: str) -> list[str]:
