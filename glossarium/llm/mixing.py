@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import warnings
+from dataclasses import dataclass
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -140,35 +140,64 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = MAX_STEPS, ridge: float = RIDGE) -> Column:
-    """The rate of a row as an expression on its p, by projected gradient steps.
+@dataclass(frozen=True)
+class Fit:
+    """The rate of a row as an expression on its p, the domains' totals that it gives and the wanted ones, as shares of all
+    tokens there are, the passes it took, and how far the last one was from an optimum."""
+
+    rate: Column
+    totals: tuple[float, ...]
+    wanted: tuple[float, ...]
+    passes: int = 0
+    residual: float = 0.0
+
+
+#: Lengths of a step along its direction that a pass tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
+
 
-    Over nonnegative rates r it minimises |totals - wanted|**2 / ridge + |r - 1|**2, where totals are the expected
+def fit(cells: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = MAX_STEPS, ridge: float = RIDGE) -> Fit:
+    """Rates by projected gradient steps.
+
+    Over nonnegative rates r they minimise |totals - wanted|**2 / ridge + |r - 1|**2, where totals are the expected
     tokens of the domains as shares of all tokens, wanted is targets times ``total`` (default: the tokens there are),
     and rows weigh by their tokens. ``cells`` has the tokens m and probabilities p of documents; documents
-    of equal p have equal rates. A step sums residuals over the cells in parallel, scales them by the Gram matrix of
-    the memberships, adds them up and projects the rates; one number per domain goes to the driver. The scaled step
-    is never longer than the curvature allows, as the Gram matrix of the rows off the bound is at most that of all.
+    of equal p have equal rates. A pass sums residuals over the cells in parallel, for some lengths of a step at once; the best
+    is taken. The next step is the residual scaled by the Gram matrix of the rows that are off the bound. A few numbers for
+    each length go to the driver. Targets that nonnegative rates cannot meet have an optimum too; ``totals`` says how near
+    it comes.
     """
     k = range(len(DOMAINS))
-    p = F.col("p")
-    first = cells.agg(F.sum("m").alias("m"), *(F.sum(F.col("m") * p[i] * p[j]).alias(f"g{i}{j}") for i in k for j in k)).first()
-    tokens = float(first["m"] or 0)
+    p, pairs = F.col("p"), [(i, j) for i in k for j in k if i <= j]
+    tokens = float(cells.agg(F.sum("m")).first()[0] or 0)
     if not tokens:
-        return F.lit(1.0)
-    total = tokens if total is None else total
-    wanted = [targets[d] * total / tokens for d in DOMAINS]
-    gram = [[float(first[f"g{i}{j}"]) / tokens + (ridge if i == j else 0.0) for j in k] for i in k]
-    dual = [0.0 for _ in k]
-    for _ in range(steps):
-        got = cells.withColumn("r", _rate(dual)).agg(*(F.sum(F.col("m") * F.col("r") * p[i]).alias(f"s{i}") for i in k)).first()
-        residual = [float(got[f"s{i}"]) / tokens - wanted[i] - ridge * dual[i] for i in k]
-        if max(map(abs, residual)) < TOLERANCE:
+        return Fit(F.lit(1.0), tuple(0.0 for _ in k), tuple(0.0 for _ in k))
+    wanted = [targets[d] * (tokens if total is None else total) / tokens for d in DOMAINS]
+    tried, best, passes = [[0.0 for _ in k]], None, 0
+    for passes in range(1, steps + 1):
+        rated = cells.withColumns({f"r{c}": _rate(dual) for c, dual in enumerate(tried)})
+        sums = [F.sum(F.col("m") * F.col(f"r{c}") * p[i]).alias(f"s{c}_{i}") for c in range(len(tried)) for i in k]
+        sums += [F.sum(F.when(F.col(f"r{c}") > 0, F.col("m") * p[i] * p[j]).otherwise(0.0)).alias(f"g{c}_{i}{j}") for c in range(len(tried)) for i, j in pairs]
+        got = rated.agg(*sums).first()
+        before = best and best[0]
+        for c, dual in enumerate(tried):
+            totals = [float(got[f"s{c}_{i}"]) / tokens for i in k]
+            residual = [totals[i] - wanted[i] - ridge * dual[i] for i in k]
+            size = sqrt(sum(x * x for x in residual))
+            if best is None or size < best[0]:
+                gram = [[float(got[f"g{c}_{min(i, j)}{max(i, j)}"]) / tokens + (ridge if i == j else 0.0) for j in k] for i in k]
+                best = size, dual, totals, residual, gram
+        size, dual, totals, residual, gram = best
+        if max(map(abs, residual)) < TOLERANCE or size == before:
             break
-        dual = [a + b for a, b in zip(dual, _solve(gram, residual))]
-    else:
-        warnings.warn(f"after {steps} steps the domains' totals are off by {max(map(abs, residual)):.2g} of all tokens", stacklevel=2)
-    return _rate(dual)
+        direction = _solve(gram, residual)
+        tried = [[a + t * b for a, b in zip(dual, direction)] for t in LENGTHS]
+    return Fit(_rate(dual), tuple(totals), tuple(wanted), passes, max(map(abs, residual)))
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = MAX_STEPS, ridge: float = RIDGE) -> Column:
+    """The rate of ``fit``."""
+    return fit(cells, targets, total, steps, ridge).rate
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, more: tuple[str, ...] = ()) -> DataFrame:

@@ -42,4 +42,6 @@ def test_stages_keep_repeated_rows_and_take_empty_tables(spark, tmp_path):
         if name != "mixing":
             assert len(got) == 2, name
         assert len(got) % 2 == 0, name
+        if name != "mixing":
+            assert [r.text for r in out.collect() if r.doc_id is None] == ["no id at all here"], name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

@@ -226,6 +226,25 @@ def test_rates_equal_projected_least_squares(spark, sf):
     assert ((copies == np.floor(r)) | (copies == np.floor(r) + 1)).all()
 
 
+@pytest.mark.parametrize("targets", [(0.84, 0.08, 0.08), (0.3, 0.4, 0.3), (1.0, 0.0, 0.0)])
+def test_totals_meet_targets_or_say_how_near_they_come(spark, targets):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.6, 0.3, 0.1], 400)
+    m = rng.integers(1, 200, 400).astype(float)
+    frame = spark.createDataFrame([(x, q.tolist()) for x, q in zip(m.tolist(), p)], "m double, p array<double>")
+    wanted = dict(zip(mixing.DOMAINS, targets))
+    fit = mixing.fit(frame, wanted)
+    r = np.array([x.r for x in frame.select(fit.rate.alias("r")).collect()])
+    assert (r >= 0).all() and np.allclose((m * r) @ p / m.sum(), fit.totals, atol=1e-9) and fit.residual < mixing.TOLERANCE and fit.passes < mixing.MAX_STEPS
+    # the optimum of the projected problem: rates follow from the totals' distance
+    dual = (np.array(fit.totals) - targets) / mixing.RIDGE
+    assert np.abs(np.maximum(0, 1 - p @ dual) - r).max() < 0.02 * max(1, r.max())
+    if min(targets) > 0:
+        assert np.abs(np.array(fit.totals) - targets).max() < 1e-3
+    else:  # every document has some of each domain
+        assert fit.totals[2] > 0
+
+
 def test_posteriors_separate_domains_by_words(spark):
     rng = random.Random(3)
     rows, labels = [], []
