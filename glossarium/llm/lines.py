@@ -102,11 +102,9 @@ def _led(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of rows that share a prefix token, b not matched yet (``open``) and seen after a, past the filters. Both sides
-    are the same rows, so that they are shuffled once: hence ``open`` is asked in a term that names both."""
-    both = rows.alias("a").join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
-    later = F.when(F.col("b.open"), _place("a.") < _place("b.")).otherwise(F.col("a.n") < 0)
-    return both.where(later & _first_shared("a.", "b.", threshold) & _alike("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
+    """(a, b) of rows that share a prefix token, b not matched yet (``open``) and seen after a, past the filters."""
+    both = rows.drop("open").alias("a").join(rows.where("open").alias("b"), F.col("a.token") == F.col("b.token"))
+    return both.where((_place("a.") < _place("b.")) & _first_shared("a.", "b.", threshold) & _alike("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
