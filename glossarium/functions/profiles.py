@@ -62,15 +62,22 @@ def base(c: Column, p: Profile) -> Column:
 
 
 def display(c: Column, p: Profile) -> Column:
-    out = base(c, p)
+    return _display(base(c, p), p)
+
+
+def norm(c: Column, p: Profile) -> Column:
+    return _norm(base(c, p), p)
+
+
+def _display(out: Column, p: Profile) -> Column:
     if not p.display_keep_long_s:
         out = F.replace(out, F.lit("ſ"), F.lit("s"))
     out = T.map_chars(out, p.char_map)
     return T.squeeze(F.lower(out) if p.display_lower else out)
 
 
-def norm(c: Column, p: Profile) -> Column:
-    out = T.map_chars(F.replace(base(c, p), F.lit("ſ"), F.lit("s")), p.char_map)
+def _norm(out: Column, p: Profile) -> Column:
+    out = T.map_chars(F.replace(out, F.lit("ſ"), F.lit("s")), p.char_map)
     if p.strip_diacritics:
         out = T.strip_diacritics(out)
     if p.norm_lower:
@@ -208,7 +215,8 @@ def warnings(features_: Column, unknown: Column, p: Profile) -> Column:
 def apply_profile(df, source: str, p: Profile):
     """``df`` with form_display, form_norm, form_render, features, symbols_used, unknown_symbols and warnings of a column.
     The features are those of the display form. Nulls are taken as empty."""
-    out = df.withColumns({"form_display": display(F.col(source), p), "form_norm": norm(F.col(source), p)})
+    based = df.withColumn("_base", base(F.col(source), p))  # once for both forms
+    out = based.withColumns({"form_display": _display(F.col("_base"), p), "form_norm": _norm(F.col("_base"), p)}).drop("_base")
     out = out.withColumn("form_render", render(F.col("form_display"), F.col("form_norm"), p))
     named = features(F.col("form_display"), p)
     out = out.withColumns(

@@ -20,13 +20,17 @@ ACUTE_VOWELS = "áéíóúýÁÉÍÓÚÝ"
 ACCENTED = "áàâäéèêëíìîïóòôöúùûüýÿãõ"
 
 
+#: The characters of WS.
+SPACES = "".join(chr(k) for k in range(0x3001) if re.fullmatch(f"[{WS}]", chr(k)))
+
+
 def nonblank(c: Column) -> Column:
     """Null where nothing but white space is left."""
-    return F.when(F.rlike(c, F.lit(f"[^{WS}]")), c)
+    return F.when(strip(c) != "", c)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$(?![\\n])", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

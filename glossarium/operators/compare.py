@@ -323,6 +323,14 @@ def cluster(matches: DataFrame, labels: DataFrame, min_score: float = 80.0) -> D
     return out.withColumns({"score": F.lit(100.0), "status": F.lit("auto")})
 
 
+def commit_clusters(members: DataFrame, new: DataFrame) -> DataFrame:
+    """The memberships of a store after those of a new run: what the store has stays, so an entry may stand in several
+    groups; a membership (group_id, dict_id, entry_id) that comes again has the new row, of equal ones any."""
+    key = ["group_id", *(["dict_id"] if "dict_id" in members.columns else []), "entry_id"]
+    new = new.dropDuplicates(key)
+    return members.join(new.select(*key), key, "left_anti").unionByName(new.select(*members.columns))
+
+
 def validated_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs (entry_id_a, label_a, entry_id_b, label_b, score) that someone confirmed, as two members of a group each: its
     label is the lesser in lower case, the score that of the pair."""

@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship, stored
 
-#: Distinct links up to which one task settles all components; more go through the distributed rounds.
-ONE_TASK = 1 << 19
-
-
-def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the links (u, v) of one task."""
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over the links (u, v) of one partition: every node by the least it is linked to there."""
     parent: dict = {}
 
     def root(x):
@@ -31,8 +27,8 @@ def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+    pairs = [(x, y) for x in list(parent) if (y := root(x)) != x]
+    yield pd.DataFrame(pairs, columns=["u", "v"])
 
 
 def _least_by(edges: DataFrame) -> DataFrame:
@@ -57,25 +53,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Rows ``(node, component)`` for every node that some link touches; ``component`` is the least node of
     its connected component.
 
-    The distinct links are counted first. Up to ONE_TASK of them, which is a fixed bound, one task settles; more are
-    contracted in rounds, with the same result.
+    Each partition first replaces its links by those of its nodes to the least node they reach there, then rounds of star
+    contractions join the partitions, until nothing changes. There is one way for all sizes: a table that fits into one
+    partition is settled by the first step, and one round finds that nothing changes.
 
     Self links and rows with a null end are ignored, repeated links count once, an empty table gives none.
     Each round halves the depth of what is left, so rounds grow with the logarithm of the longest chain.
     The minimum of a node's neighbours is a partially aggregated group-by and the join back to the links is
     one that adaptive execution can split, so a hub with most of the links does not land in one task.
     """
-    e = stored(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
-    )
-    if e.count() <= ONE_TASK:
-        ship(e.sparkSession)
-        kind = e.schema["u"].dataType.simpleString()
-        return e.coalesce(1).mapInPandas(_settle, f"node {kind}, component {kind}")
-    mark = None
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    ship(links.sparkSession)
+    kind = e.schema["u"].dataType.simpleString()
+    e = stored(e.mapInPandas(_contracted, f"u {kind}, v {kind}"), "links")
+    digest = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = digest(e)
     for _ in range(max_rounds):
         e = stored(_small_star(_large_star(e)).where("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = digest(e)
         if now == mark:
             break
         mark = now

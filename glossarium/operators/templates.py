@@ -63,25 +63,38 @@ def wordlist(records: DataFrame, text: str = "raw", strip_trailing: bool = True,
     return rows.select(*own, "draft_no", "d.*")
 
 
-def _cut(c: Column, separator: str, custom: str) -> Column:
-    """The parts before and after the first separator, or null without one."""
-    pattern = f"[{T.WS}]{{2,}}" if separator in ("double_space", "multi_spaces") else "\\Q" + (SEPARATORS.get(separator) or custom) + "\\E"
-    parts = F.split(c, pattern, 2)
-    return F.when(F.size(parts) == 2, parts)
+def _cut(records: DataFrame, text: str, separator: str, custom: str) -> DataFrame:
+    """Records with ``_head`` and ``_rest``: the parts of the stripped line before and after the first separator, stripped, or
+    null without one. Lines are columns first, so that each is stripped and searched once."""
+    runs = separator in ("double_space", "multi_spaces")
+    out = records.withColumn("_line", T.strip(F.coalesce(text, F.lit(""))))
+    line, sign = F.col("_line"), SEPARATORS.get(separator) or custom
+    if runs or not sign:
+        out = out.withColumn("_parts", F.split(line, f"[{T.WS}]{{2,}}" if runs else "", 2))
+        both = (F.when(F.size("_parts") == 2, F.get("_parts", F.lit(k))) for k in (0, 1))
+    else:
+        out = out.withColumn("_at", F.instr(line, sign))
+        both = (F.when(F.col("_at") > 0, part) for part in (F.substr(line, F.lit(1), F.col("_at") - 1), F.substr(line, F.col("_at") + len(sign))))
+    head, rest = map(T.strip, both)
+    return out.withColumns({"_head": head, "_rest": rest})
+
+
+def _two(records: DataFrame, text: str, separator: str, custom: str, trim: bool, name: str) -> DataFrame:
+    own = _own(records)
+    cut = _cut(records.select(*own), text, separator, custom).withColumn("_head", _stripped(F.col("_head"), trim))
+    head, rest = F.col("_head"), F.col("_rest")
+    row = F.when(head.isNull(), _bad("UNRECOGNIZED_RECORD")).when(head == "", _bad("EMPTY_HEADWORD")).otherwise(_row(head, **{name: rest}))
+    return cut.withColumn("d", row).select(*own, F.lit(0).alias("draft_no"), "d.*")
 
 
 def entry_definition(records: DataFrame, text: str = "raw", separator: str = "comma", custom: str = "") -> DataFrame:
-    parts = _cut(T.strip(F.coalesce(text, F.lit(""))), separator, custom)
-    head, definition = T.strip(F.get(parts, F.lit(0))), T.strip(F.get(parts, F.lit(1)))
-    row = F.when(parts.isNull(), _bad("UNRECOGNIZED_RECORD")).when(head == "", _bad("EMPTY_HEADWORD")).otherwise(_row(head, definition=definition))
-    return emit(records, F.array(row))
+    """A row for each record: headword and definition, before and after the first separator."""
+    return _two(records, text, separator, custom, False, "definition")
 
 
 def headword_pron(records: DataFrame, text: str = "raw", separator: str = "tab", custom: str = "", trim: bool = False) -> DataFrame:
-    parts = _cut(T.strip(F.coalesce(text, F.lit(""))), separator, custom)
-    head, pron = _stripped(T.strip(F.get(parts, F.lit(0))), trim), T.strip(F.get(parts, F.lit(1)))
-    row = F.when(parts.isNull(), _bad("UNRECOGNIZED_RECORD")).when(head == "", _bad("EMPTY_HEADWORD")).otherwise(_row(head, pron))
-    return emit(records, F.array(row))
+    """A row for each record: headword and pronunciation, before and after the first separator."""
+    return _two(records, text, separator, custom, trim, "pron")
 
 
 def three_columns(records: DataFrame, text: str = "raw", separator: str = "auto", custom: str = "") -> DataFrame:

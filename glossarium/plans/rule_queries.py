@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import comparison, curation, filters, quality, templates
-from ..session import table
-from ..sources import config
+from ..operators import compare, comparison, curation, filters, paging, quality, templates
+from ..session import shared_dir, table
+from ..sources import config, sinks
 from . import testbed as tb
 from .queries import _LINES
 from .registry import query
@@ -140,3 +142,42 @@ def _p8(spark, d):
 @query("p7_diff_by_settings", f"{_ALIGNED} SELECT headword_key, entry_id_a, entry_id_b FROM aligned WHERE method = 'exact' AND upper(headword_key[1]) = 'B'")
 def _p7(spark, d):
     return comparison.difference(tb.store(spark, d).where(filters.not_deleted()), settings=_RUN, bucket="b").select("headword_key", "entry_id_a", "entry_id_b")
+
+
+# ---- stores and pages: what is written lies in a new folder, so these have no SQL; tests hold them against a brute-force version
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("l1_page_by_rank")
+def _l1(spark, d):
+    """The last full hundred of all entries, by the index."""
+    path = _folder(spark, "pages")
+    paging.build_pages(tb.entries(spark, d), ["dict_id", "line_no", "entry_id"], path)
+    return paging.read_page(spark, path, 100, max(1, paging.count_rows(spark, path) // 100)).select("rank", "dict_id", "line_no", "entry_id")
+
+
+@query("k1_store_upsert")
+def _k1(spark, d):
+    """A store after two upserts: of all entries, then of a third of them with new headwords."""
+    path, s = _folder(spark, "store"), tb.store(spark, d)
+    sinks.upsert_entries(s, path)
+    sinks.upsert_entries(s.where("line_no % 3 = 0").withColumn("headword_raw", F.upper("headword_raw")), path)
+    return sinks.read_entries(spark, path).select("entry_id", "headword_raw", "headword_edit", "status", "is_deleted")
+
+
+@query("a19_second_run", """WITH a AS (SELECT lower(p_name) AS label, p_partkey::VARCHAR AS entry_id FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) > 1)),
+  b AS (SELECT p_brand AS label, p_partkey::VARCHAR AS entry_id FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 1))
+  SELECT sha256(label) AS group_id, label, entry_id FROM (FROM a UNION FROM b)""")
+def _a19(spark, d):
+    """Clusters by name, then those by brand committed over them."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entry_id"), F.lower("p_name").alias("name"), F.col("p_brand").alias("brand"))
+
+    def run(by: str):
+        first = p.groupBy(by).agg(F.min("entry_id").alias("entry_id_a"))
+        links = p.join(first, by).select("entry_id_a", F.col("entry_id").alias("entry_id_b"), F.lit(100.0).alias("score"))
+        return compare.cluster(links, p.select("entry_id", F.col(by).alias("label")))
+
+    return compare.commit_clusters(run("name"), run("brand")).select("group_id", "label", "entry_id")

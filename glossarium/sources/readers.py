@@ -125,18 +125,29 @@ def page_lines(words: DataFrame, columns: int = 1, tolerance: float = 2.5, width
     cuts = sizes.join(per, "page", "left").select("page", F.when(F.size("w") >= columns - 1, F.transform("w", lambda g: g["cut"])).otherwise(even).alias("cuts"))
     placed = words.join(cuts, "page").withColumn("col", F.size(F.filter("cuts", lambda c: c <= F.col("x0"))))
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0", "text"])
-        at, line, number = None, 0, []
-        for top in pdf.top:
-            if at is None or top - at > tolerance:
-                at, line = top, line + 1
-            number.append(line)
-        pdf = pdf.assign(line_no=number).sort_values(["line_no", "x0", "text"])
-        out = pdf.groupby("line_no").text.agg(" ".join).reset_index()
-        return out.assign(page=pdf.page.iloc[0], col=pdf.col.iloc[0])[["page", "col", "line_no", "text"]]
-
-    return placed.select("page", "col", "x0", "top", "text").groupBy("page", "col").applyInPandas(rows, "page long, col int, line_no int, text string")
+    def lines(frames):
+        """Lines of one sorted stream of words: a word further from its line's first than the tolerance begins the next."""
+        at, words, number, done = None, [], 0, []
+
+        def end():
+            if words:
+                done.append((*at[:2], number, " ".join(t for _, t in sorted(words))))
+
+        for f in frames:
+            for page, col, x0, top, text in zip(f.page, f.col, f.x0, f.top, f.text):
+                fresh = at is None or (page, col) != at[:2]
+                if fresh or top - at[2] > tolerance:
+                    end()
+                    at, words, number = (page, col, top), [], 1 if fresh else number + 1
+                words.append((x0, text))
+            yield pd.DataFrame(done, columns=["page", "col", "line_no", "text"])
+            done = []
+        end()
+        yield pd.DataFrame(done, columns=["page", "col", "line_no", "text"])
+
+    # many pages in a task, each whole and in order
+    stream = placed.select("page", "col", "x0", "top", "text").repartition("page", "col").sortWithinPartitions("page", "col", "top", "x0", "text")
+    return stream.mapInPandas(lines, "page long, col int, line_no int, text string")
 
 
 def page_stats(lines: DataFrame, least: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 
 # The fields of an entry export, in order.
@@ -145,6 +146,52 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> Non
     entries.write.mode(mode).partitionBy("dict_id").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+#: What curation has changed of an entry; an upsert resets it.
+CURATION = {"headword_edit": None, "pron_edit": None, "definition_edit": None, "status": "auto", "is_deleted": False, "deleted_at": None, "deleted_reason": None}
+
+
+def upsert_entries(new: DataFrame, path: str, order: str | None = None, keep_curation: bool = False, buckets: int = 64) -> None:
+    """Entries written over a store that lies in buckets by entry_id: only buckets that entries come for are read and
+    rewritten, and Spark puts them in place once all are written.
+
+    An entry that comes again replaces the old one and loses its curation (edits, status, deletion), as it does in the store
+    that this follows; ``keep_curation`` keeps it. Of several new rows of an id the greatest by ``order`` (else any) comes.
+    The first call makes the store; columns are its own, those that a row lacks are null. Rows without an id are one
+    entry's.
+    """
+    spark = new.sparkSession
+    rest = [c for c in new.columns if c != "entry_id"]
+    if order:
+        new = new.groupBy("entry_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("entry_id", "r.*")
+    else:
+        new = new.dropDuplicates(["entry_id"])
+    kinds = dict(new.dtypes)
+    if not keep_curation:
+        new = new.withColumns({c: F.lit(v).cast(kinds[c]) for c, v in CURATION.items() if c in kinds})
+    new = new.withColumn("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(buckets)).cast("int"))
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+        new.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return
+    new = stored(new, "upsert")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    if keep_curation:
+        kept = [c for c in CURATION if c in old.columns]
+        was = old.select(F.col("entry_id").alias("_id"), F.lit(True).alias("_there"), *(F.col(c).alias(f"_old_{c}") for c in kept))
+        new = new.join(was, F.col("entry_id").eqNullSafe(F.col("_id")), "left")
+        value = lambda c: F.when(F.col("_there"), F.col(f"_old_{c}")).otherwise(F.col(c) if c in kinds else F.lit(CURATION[c]).cast(dict(old.dtypes)[c]))
+        new = new.withColumns({c: value(c) for c in kept}).drop("_id", "_there", *(f"_old_{c}" for c in kept))
+    ids = new.select(F.col("entry_id").alias("_id"))
+    left = old.join(ids, F.col("entry_id").eqNullSafe(F.col("_id")), "left_anti")
+    both = left.unionByName(new.select(*(c for c in new.columns if c in old.columns)), allowMissingColumns=True).select(*old.columns)
+    both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_entries(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def save_run(run_id: str, tables: dict[str, DataFrame], path: str) -> None:
     """The tables of a comparison run, each in its own folder by run."""
     for name, df in tables.items():

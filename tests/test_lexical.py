@@ -149,11 +149,12 @@ def test_match_and_cluster(spark):
     assert {(r.label, r.entry_id) for r in compare.cluster(m, labels).collect()} == {("alpha", "a1"), ("alpha", "b1"), ("beta", "a2"), ("beta", "b2")}
 
 
-@pytest.mark.parametrize("one_task", [0, 1 << 19])
-def test_components_of_a_long_chain(spark, monkeypatch, one_task):
-    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_components_of_a_long_chain(spark, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)  # false: links lie in several partitions
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glossarium.operators import comparison, curation, filters, parsing, quality, templates
+from glossarium.operators import compare, comparison, curation, filters, paging, parsing, quality, templates
 from glossarium.operators.carry import carried
-from glossarium.sources import config, readers
+from glossarium.sources import config, readers, sinks
 
 
 def brute_filter(lines, rule):
@@ -250,3 +250,96 @@ def test_a_comparison_run_is_whole_or_not_there(spark, tmp_path, monkeypatch):
     assert {r.bucket: r.n for r in comparison.letters(back)["coverage"].collect()} == {"A": 1, "B": 2, "C": 2, "G": 1, "Z": 1}
     with pytest.raises(ValueError, match="differ"):
         comparison.Settings(("A", "B"), "A", "A")
+
+
+def test_pages_read_their_ranges_only(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.randrange(50), f"id{k:05d}", "x", 1) for k in range(5000)]
+    df = spark.createDataFrame(rows, "section string, line_no int, entry_id string, rank_ string, n int").repartition(5)
+    path, want = str(tmp_path / "pages"), sorted(rows)
+    paging.build_pages(df, ["section", "line_no", "entry_id"], path, 32)
+    assert paging.count_rows(spark, path) == 5000
+    for size, number in ((100, 1), (100, 2), (7, 333), (999, 5), (1000, 5), (100, 50), (100, 51), (6000, 1)):
+        got = [tuple(r)[:5] for r in paging.read_page(spark, path, size, number).collect()]
+        assert got == want[size * (number - 1) : size * number], (size, number)
+    page = paging.read_page(spark, path, 100, 25)
+    files = {f.rsplit("/", 2)[1] for f in page.inputFiles()}
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and [r["rank"] for r in page.collect()] == list(range(2400, 2500))
+    read = spark.read.parquet(f"{path}/rows").where(F.col("_part").isin([int(f.split("=")[1]) for f in files]) & (F.lit(len(files)) < 4)).count()
+    assert len(files) == 32 or read < 5000 * 0.15
+    paging.build_pages(df.limit(0), ["section", "line_no", "entry_id"], path)
+    assert paging.read_page(spark, path).collect() == [] and paging.count_rows(spark, path) == 0
+
+
+STORE = "entry_id string, headword_raw string, headword_edit string, status string, is_deleted boolean, seq int"
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_upserts_over_a_store(spark, tmp_path, keep):
+    path = str(tmp_path / "store")
+    rows = lambda: {r.entry_id: (r.headword_raw, r.headword_edit, r.status, r.is_deleted) for r in sinks.read_entries(spark, path).collect()}
+    first = [(f"e{k}", f"h{k}", None, "auto", False, 1) for k in range(40)] + [(None, "none", None, "auto", False, 1)]
+    sinks.upsert_entries(spark.createDataFrame(first, STORE), path, keep_curation=keep, buckets=8)
+    curated = sinks.read_entries(spark, path).withColumns({"headword_edit": F.concat(F.lit("E"), "headword_raw"), "status": F.lit("validated"), "is_deleted": F.lit(True)})
+    path = str(tmp_path / "curated")
+    curated.withColumn("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8)).cast("int")).write.partitionBy("bucket").parquet(path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "curated").rglob("*.parquet")}
+    new = [("e1", "old", None, "reviewed", None, 1), ("e1", "new", None, "reviewed", None, 2), ("x", "added", "xe", "reviewed", False, 1)]
+    sinks.upsert_entries(spark.createDataFrame([(*r, 3) for r in new], STORE + ", more int"), path, "seq", keep, 8)
+    want = {e: (h, f"E{h}", "validated", True) for e, h, *_ in first}
+    want["e1"] = ("new", "Eh1", "validated", True) if keep else ("new", None, "auto", False)
+    want["x"] = ("added", "xe", "reviewed", False) if keep else ("added", None, "auto", False)
+    assert rows() == want
+    assert sum(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items()) >= 6  # two buckets of eight were touched
+    sinks.upsert_entries(spark.createDataFrame([(None, "second", None, "auto", False, 1)], STORE), path, keep_curation=keep, buckets=8)
+    assert rows()[None] == (("second", "Enone", "validated", True) if keep else ("second", None, "auto", False)) and len(rows()) == 42
+
+
+def test_memberships_of_earlier_runs_stay(spark):
+    ddl = "group_id string, label string, dict_id string, entry_id string, score double, status string"
+    old = spark.createDataFrame([("g", "a", "d", "1", 100.0, "auto"), ("g", "a", "d", "2", 90.0, "auto"), ("h", "b", "d", "3", 100.0, "validated")], ddl)
+    new = spark.createDataFrame([("g", "a", "d", "2", 100.0, "auto"), ("i", "c", "d", "1", 100.0, "auto"), ("i", "c", "d", "1", 100.0, "auto")], ddl)
+    got = sorted((r.group_id, r.entry_id, r.score, r.status) for r in compare.commit_clusters(old, new).collect())
+    assert got == [("g", "1", 100.0, "auto"), ("g", "2", 100.0, "auto"), ("h", "3", 100.0, "validated"), ("i", "1", 100.0, "auto")]
+
+
+def test_greedy_over_one_great_component(spark):
+    rng = random.Random(4)
+    pairs = {}
+    for a in range(3000):
+        for b in rng.sample(range(max(0, a - 40), a + 40), 4):
+            pairs[f"a{a:05d}", f"b{b:05d}"] = float(rng.randrange(80, 100))
+    taken, want = set(), {}
+    by_a = {}
+    for (a, b), s in pairs.items():
+        by_a.setdefault(a, []).append((-s, b))
+    for a in sorted(by_a):
+        for s, b in sorted(by_a[a]):
+            if b not in taken:
+                taken.add(b)
+                want[a] = b
+                break
+    frame = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "ka string, kb string, score double")
+    assert {r.ka: r.kb for r in compare.greedy(frame).collect()} == want
+
+
+@pytest.mark.parametrize("t", [50, 75, 85, 92])
+def test_candidates_of_longer_keys_lose_nothing(spark, t):
+    from test_lexical import ratio
+
+    rng = random.Random(t)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(6, 34))) for _ in range(25)]
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randrange(0, 7)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], rng.choice("abcdefghxyz")], [rng.choice("abcdefghxyz")]])
+            w = w or ["a"]
+        return "".join(w)
+
+    a, b = sorted({edited(rng.choice(base)) for _ in range(70)}), sorted({edited(rng.choice(base)) for _ in range(70)})
+    x, y = (spark.createDataFrame([(w,) for w in ws], "headword_key string") for ws in (a, b))
+    got = {(r.ka, r.kb): r.score for r in compare.similar_pairs(x, y, t).collect()}
+    assert got == pytest.approx({(p, q): s for p in a for q in b if (s := ratio(p, q)) >= t})
