@@ -131,3 +131,30 @@ def op13_merkle(spark, sf_dir: str) -> DataFrame:
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     more = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     return manifest(table(spark, sf_dir, "documents"), FIELDS, "lang", "doc_id", more, touched)
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf_sql(changed: dict[str, str]) -> str:
+    return "sha256(" + " || ".join(_field_sql(changed.get(c, c)) for c in FIELDS) + ")"
+
+
+_WALK = "CASE WHEN s.h IS NULL THEN sha256(acc) WHEN f.i % 2 = 0 THEN sha256(acc || s.h) ELSE sha256(s.h || acc) END, sibs || coalesce(s.h, '')"
+#: CRC-32 of the decimal id, byte by byte by its table, is all that is not plain SQL.
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+rows AS (SELECT *, coalesce('=' || lang, '') AS g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295::BIGINT) % 7 = 0 AS touched FROM documents, crc),
+leaves AS (SELECT doc_id, g, h, CASE WHEN touched THEN th ELSE h END AS th, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, g, touched, {_leaf_sql({})} AS h, {_leaf_sql({"n_chars": "(n_chars::HUGEINT + 1)"})} AS th FROM rows)),
+low AS (SELECT 0 AS lvl, g, i, n, h FROM leaves UNION ALL SELECT lvl + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lvl + 1, g, i // 2, (n + 1) // 2),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, i, n, h FROM subroots UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl + 1, i // 2, (n + 1) // 2),
+up AS (SELECT doc_id, g, i, n, 0 AS lvl, h AS leaf, th AS acc, '' AS sibs FROM leaves
+  UNION ALL SELECT doc_id, f.g, f.i // 2, (f.n + 1) // 2, f.lvl + 1, leaf, {_WALK} FROM up f LEFT JOIN low s ON s.lvl = f.lvl AND s.g = f.g AND s.i = xor(f.i, 1) WHERE f.n > 1),
+top AS (SELECT doc_id, r.i, r.n, 0 AS lvl, leaf, r.h AS subroot, acc, sibs FROM up JOIN subroots r USING (g) WHERE up.n = 1
+  UNION ALL SELECT doc_id, f.i // 2, (f.n + 1) // 2, f.lvl + 1, leaf, subroot, {_WALK} FROM top f LEFT JOIN high s ON s.lvl = f.lvl AND s.i = xor(f.i, 1) WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, x.h AS root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = x.h AS verified FROM top, (SELECT h FROM high WHERE n = 1) x WHERE top.n = 1
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_merkle": merkle.op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_top_k": topk.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op12_top_k": topk.OP12_SQL, "op13_merkle": merkle.OP13_SQL}

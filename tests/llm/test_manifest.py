@@ -82,6 +82,12 @@ def test_manifest_of_all_documents(spark, sf):
     assert all(r[6] == (zlib.crc32(str(r[0]).encode()) % 7 != 0) for r in got)
 
 
+def test_manifest_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert in_order(con.execute(f"select {', '.join(KEYS)} from ({merkle.OP13_SQL})").fetchall()) == in_order(manifest_brute([r.asDict() for r in table(spark, sf, "documents").collect()]))
+
+
 def test_manifest_of_odd_rows(spark):
     rng = random.Random(3)
     rows = [(k, None if k % 9 == 0 else f"é{k}", rng.choice([None, "a", "ä", "b", ""]), None if k % 4 == 0 else k, None if k % 5 == 0 else "x" * (k % 3)) for k in range(61)]
