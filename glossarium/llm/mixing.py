@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, stored, table
+from .lines import _spaced
 
 DOMAINS = ("clean", "low_quality", "toxic")
 #: Shares of the mixture's expected tokens.
@@ -28,20 +29,19 @@ MAX_STEPS, TOLERANCE, RIDGE = 40, 1e-6, 1e-4
 BUCKETS, DEVIATIONS, PRIOR = 1 << 16, 3.0, 4.0
 
 
-def word_buckets(text: Column) -> Column:
+def word_buckets(tokens: Column) -> Column:
     """Distinct buckets of a text's lower-cased words (runs without white space)."""
-    spaced = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
-    tokens = F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
-    return F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+    return F.array_distinct(F.transform(F.array_distinct(tokens), lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens (runs without white space), the distinct buckets of its words and the bin of each measure."""
-    text = doc_text(docs, *more).select(
+    own = doc_text(docs, *more).withColumn("_tokens", F.array_remove(F.split(_spaced(F.col("text"), "\n"), " "), ""))
+    text = own.select(
         "doc_id",
         *more,
-        word_buckets(F.col("text")).alias("words"),
-        F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"),
+        word_buckets(F.col("_tokens")).alias("words"),
+        F.size("_tokens").cast("long").alias("n_tokens"),
         F.length("text").alias("size"),
         F.regexp_count("text", F.lit("[A-Z]")).alias("upper"),
         F.regexp_count("text", F.lit(r"[!-+:-@|]")).alias("mark"),
