@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders of the tables that ``stored`` has written, by application.
+_STORED: dict[str, list[str]] = {}
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -71,11 +73,23 @@ def stored(df: DataFrame, name: str = "part", codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and a lost
     executor costs no recomputation beyond the files' readers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glossarium-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/glossarium-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(folder)
     release(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this application, and say how many: for when all results that were
+    made of them have been written. Frames that still read them fail."""
+    folders = _STORED.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -343,3 +343,14 @@ def test_candidates_of_longer_keys_lose_nothing(spark, t):
     x, y = (spark.createDataFrame([(w,) for w in ws], "headword_key string") for ws in (a, b))
     got = {(r.ka, r.kb): r.score for r in compare.similar_pairs(x, y, t).collect()}
     assert got == pytest.approx({(p, q): s for p in a for q in b if (s := ratio(p, q)) >= t})
+
+
+def test_stored_tables_go_when_told(spark):
+    from glossarium.session import drop_stored, stored
+
+    drop_stored(spark)
+    kept = stored(spark.range(5))
+    (file,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    assert kept.count() == 5 and drop_stored(spark) == 1 and drop_stored(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(file)
