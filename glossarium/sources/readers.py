@@ -174,20 +174,30 @@ def lexicon(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
 def csv_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Records of CSV files below a folder: source_path, record_no from 2, raw (the first six ``k=v``) and csv_row, all
-    values as text, quoted line ends kept. A file is read as a whole, as records may span lines; its columns are its own."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    values as text, quoted line ends kept.
 
-    def parse(frames):
-        import csv
-        import io
-
-        for f in frames:
-            for p, content in zip(f.path, f.content):
-                rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
-                out = [({k: v or "" for k, v in r.items() if k is not None}, n) for n, r in enumerate(rows, 2)]
-                yield pd.DataFrame({"source_path": p, "record_no": [n for _, n in out], "csv_row": [r for r, _ in out], "raw": [" | ".join(f"{k}={v}" for k, v in list(r.items())[:6]) for r, _ in out]})
-
-    return files.select("path", "content").mapInPandas(parse, "source_path string, record_no int, csv_row map<string,string>, raw string")
+    Spark's own reader parses the files, each in one task as records may span lines, and streams them. Columns are those of
+    a file's own first record, which joins the others by path; of columns of one name the last counts, values beyond the
+    columns are left out, missing ones are empty. Blank lines are no records; where lines end in CR LF, those
+    within values are read as LF.
+    """
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    # no record has more values than the commas of its lines allow; lines of one record are together at least as wide
+    widest = found.text(path).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
+    width = 1 + (widest or 0)
+    kinds = ", ".join(f"c{k} string" for k in range(width))
+    rows = found.schema(kinds).option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
+    values = F.array(*(F.coalesce(f"c{k}", F.lit("")) for k in range(width)))
+    rows = rows.select(F.col("_metadata.file_path").alias("source_path"), values.alias("values"), F.array(*(f"c{k}" for k in range(width))).alias("given")).withColumn("at", F.monotonically_increasing_id())
+    heads = rows.groupBy("source_path").agg(F.min(F.struct("at", "given")).alias("h")).select(F.col("source_path").alias("p"), F.col("h.at").alias("first"), F.col("h.given").alias("names"))
+    out = rows.join(heads, F.col("source_path") == F.col("p")).where("at > first")
+    later = lambda n, k: F.array_contains(F.slice("names", k + 2, F.lit(width)), n)
+    pairs = F.transform("names", lambda n, k: F.struct(n.alias("name"), F.get("values", k).alias("value"), later(n, k).alias("again")))
+    pairs = F.filter(pairs, lambda e: e["name"].isNotNull() & ~F.coalesce(e["again"], F.lit(False)))
+    out = out.withColumn("pairs", pairs)
+    text = F.array_join(F.slice(F.transform("pairs", lambda e: F.concat(e["name"], F.lit("="), e["value"])), 1, 6), " | ")
+    row = F.map_from_entries(F.transform("pairs", lambda e: F.struct(e["name"], e["value"])))
+    return out.select("source_path", (F.col("at") - F.col("first") + 1).cast("int").alias("record_no"), row.alias("csv_row"), text.alias("raw"))
 
 
 def copy_import(spark: SparkSession, path: str, to: str, glob: str = "*") -> list[str]:

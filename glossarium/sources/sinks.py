@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import stored
 
-
 # The fields of an entry export, in order.
 ENTRY_FIELDS = (
     "entry_id", "dict_id", "section", "syllables", "headword_raw", "headword_edit", "headword_effective", "pos_raw", "pron_raw", "pron_edit",
@@ -136,6 +135,28 @@ def session_key(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
+def save_session(spark, config: dict, path: str) -> str:
+    """Store a session's configuration under its key, and return that: an equal configuration replaces itself."""
+    import json
+
+    key = session_key(config)
+    row = spark.createDataFrame([(json.dumps(config, ensure_ascii=False, sort_keys=True),)], "config string").withColumn("created_at", F.current_timestamp())
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/session_id={key}")
+    return key
+
+
+def load_session(spark, key: str, path: str) -> dict:
+    """The configuration of a stored session."""
+    import json
+
+    return json.loads(spark.read.parquet(f"{path}/session_id={key}").first()["config"])
+
+
+def list_sessions(spark, path: str) -> DataFrame:
+    """session_id and created_at of stored sessions, the last first."""
+    return spark.read.parquet(path).select("session_id", "created_at").orderBy(F.desc("created_at"), "session_id")
+
+
 def clear_corpus(tables: dict[str, DataFrame], dict_id: str) -> dict[str, DataFrame]:
     """A store's tables (entries, issues, members, ..) without a corpus."""
     return {name: df.where(F.col("dict_id") != dict_id) for name, df in tables.items()}

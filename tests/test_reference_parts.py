@@ -354,3 +354,40 @@ def test_stored_tables_go_when_told(spark):
     assert kept.count() == 5 and drop_stored(spark) == 1 and drop_stored(spark) == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(file)
+
+
+def test_sessions_are_restored_by_key(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    one, two = {"corpora": ["é", "b"], "threshold": 90}, {"threshold": 80}
+    keys = [sinks.save_session(spark, c, path) for c in (one, two, {"threshold": 90, "corpora": ["é", "b"]})]
+    assert keys[0] == keys[2] == sinks.session_key(one) != keys[1]
+    assert sinks.load_session(spark, keys[0], path) == one and sinks.load_session(spark, keys[1], path) == two
+    assert [r.session_id for r in sinks.list_sessions(spark, path).collect()] == [keys[0], keys[1]]
+
+
+def test_csv_files_equal_python_s_reader(spark, tmp_path):
+    import csv
+    import io
+
+    rng = random.Random(3)
+    cells = ["", "a", "b c", "x,y", 'say "hi"', "two\nlines", "cr\r\nlf", " padded ", "é", "=1", "#"]
+    texts = {}
+    for k in range(6):
+        out = io.StringIO(newline="")
+        w = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+        w.writerow(["word", "sense", "word"][: rng.randrange(1, 4)] if k else ["a,b", 'q"', "n\nl", "z"])
+        for _ in range(rng.randrange(0, 40)):
+            w.writerow([rng.choice(cells[1:])] + [rng.choice(cells) for _ in range(rng.randrange(0, 4))])
+        texts[f"f{k}.csv"] = out.getvalue() + rng.choice(["", "\n"])
+    texts |= {"bom.csv": "﻿h,i\n1,2\n", "head.csv": "h,i\n", "empty.csv": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = {}
+    for r in readers.csv_files(spark, str(tmp_path)).collect():
+        got.setdefault(r.source_path.rsplit("/", 1)[1], []).append((r.record_no, r.csv_row, r.raw))
+    for name, text in texts.items():
+        rows = csv.DictReader(io.StringIO(text.removeprefix("﻿"), newline=""))
+        plain = lambda r: {k: (v or "").replace("\r\n", "\n") for k, v in r.items() if k is not None}
+        want = [(n, plain(r)) for n, r in enumerate(rows, 2)]
+        assert [(n, plain(row)) for n, row, _ in sorted(got.get(name, []), key=lambda x: x[0])] == want, name
+        assert all(raw.count("=") >= min(6, len(row)) for _, row, raw in got.get(name, []))
