@@ -181,7 +181,10 @@ def _count_links(threshold: float):
         if not len(left) or not len(right):
             return pd.DataFrame({"vec_id": [], "n": []}, dtype="int64")
         x, y = (np.frombuffer(b"".join(s.v), np.float64).reshape(len(s), -1) for s in (left, right))
-        near = (x @ y.T) >= threshold
+        score = x @ y.T
+        near = score >= threshold
+        i, j = np.nonzero(np.abs(score - threshold) < 1e-9)
+        near[i, j] = _near(x[i], y[j], threshold)  # the last bits of a matrix product depend on its shape
         near &= left.vec_id.to_numpy()[:, None] != right.vec_id.to_numpy()[None, :]
         return pd.DataFrame({"vec_id": left.vec_id.to_numpy(), "n": near @ right.copies.to_numpy()})
 
@@ -198,8 +201,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     the largest label unless they are given.
 
     Null labels and null, empty, zero or non-finite vectors, and vectors of different length, link with nothing; a
-    repeated row (same id and vector) is one copy more of its class; an empty table gives none; further columns are
-    not read.
+    repeated row (same id and vector) is one copy more of its class; a row without vec_id counts as a link of others but has
+    no links itself; an empty table gives none; further columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
