@@ -21,7 +21,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, ship, stored, table
+from .common import release, shared_dir, ship, table
 
 #: What DuckDB may hold of a day; more is sorted on disk.
 MEMORY = "256MB"
@@ -61,6 +61,12 @@ def _columns(side: str, columns: list[str]) -> list[Column]:
     return [F.col(side).getField(c).alias(c) for c in columns]
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as it is read back from a folder of the run's own, which goes when the run is done."""
+    df.write.parquet(f"file://{path}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"file://{path}")
+
+
 def _stage(rows: DataFrame, day: str, path: str) -> None:
     """Rows as Parquet in a folder for each day."""
     rows.repartition(F.col(day), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALT))).write.partitionBy(day).parquet(path)
@@ -158,7 +164,7 @@ def rewrite_days(days: DataFrame, layout: str, staging: str, day: str, **how) ->
     stamp = uuid.uuid4().hex
     n = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, or few short rows would all become one task's
     made = days.repartition(n, "day").mapInArrow(_rewrite(layout, staging, day, stamp, **how), "day long, folder string")
-    made = stored(made, "days")
+    made = _kept(made, f"{staging}/days")
     made.repartition(n, "day").mapInArrow(_commit(layout, stamp), "day long").write.format("noop").mode("overwrite").save()
 
 
@@ -182,7 +188,7 @@ def build_and_overwrite(rows: DataFrame, cutoff: str, size: int, key: str, arriv
     layout, staging = f"{top}/layout-{run}", f"{top}/staging-{run}"
     day = fresh("layout_day", columns)
     is_early = F.coalesce(F.col(f"`{arrived}`") < F.lit(cutoff).cast("timestamp_ntz"), F.lit(False))
-    kept = stored(latest(rows, key, arrived, is_early), "latest")
+    kept = _kept(latest(rows, key, arrived, is_early), f"{staging}/latest")
     now = kept.where("early is not null").select(*_columns("early", columns)).withColumn(day, day_of(F.col(f"`{at}`")))
     how = {"columns": columns, "key": key, "order": [at, key], "size": size}
 

@@ -210,6 +210,7 @@ def test_overwrite_of_all_sales(spark, sf):
     assert {r.columns for r in got} == {",".join(SALE)} and {r.rewritten for r in got} == {True, False}
     folder = got[0].path.rsplit("/", 2)[0]
     assert sorted(glob.glob(f"{folder}/**/*.parquet", recursive=True)) == sorted(r.path for r in got)
+    assert not glob.glob(folder.replace("/layout-", "/staging-"))
     assert pq.read_schema(got[0].path).types == pq.read_schema(f"{sf}/sales.parquet").types
 
 
