@@ -50,7 +50,7 @@ def _marked(lines: DataFrame, before: Column, after: Column, ranges: Column, reg
     marks = lines.groupBy(F.col(key).alias("_of")).agg(first(before, "first_before"), first(after, "first_after"))
     stage = F.when(F.col("line_no") < F.col("first_before"), "before").when(F.col("line_no") >= F.col("first_after"), "after")
     stage = stage.when(ranges, "ranges").when(regex, "regex")
-    return lines.join(marks, F.col(key) == F.col("_of")).withColumn("drop_stage", stage).drop("first_before", "first_after", "_of")
+    return lines.join(marks, F.col(key).eqNullSafe(F.col("_of"))).withColumn("drop_stage", stage).drop("first_before", "first_after", "_of")
 
 
 def _in_ranges(ranges: tuple[tuple[int, int], ...]) -> Column:

@@ -51,6 +51,8 @@ def test_rules_by_source_in_one_pass(spark):
         rule, fits = c.rule(p)
         assert {r.line_no: r.drop_stage for r in got if r.source_path == p} == brute_filter(ls, rule), p
         assert {tuple(r.rule_patterns) for r in got if r.source_path == p} == {tuple(fits)}
+    one = filters.filter_source(spark.createDataFrame(rows, "source_path string, line_no int, raw string, rule string"), c.rule(None)[0])
+    assert {r.line_no: r.drop_stage for r in one.where("source_path is null").collect()} == brute_filter(sources[None], c.rule(None)[0])
     off = config.filters_of(CONFIG | {"enabled": False})
     assert filters.filter_sources(spark.createDataFrame(rows, "source_path string, line_no int, raw string, rule string"), off).where("drop_stage is not null").count() == 0
     assert filters.filter_sources(spark.createDataFrame([], "source_path string, line_no int, raw string"), c).count() == 0
