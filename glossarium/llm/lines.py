@@ -34,20 +34,21 @@ def _needed(n: Column, threshold: float) -> Column:
 
 
 def rarity_levels(docs: DataFrame) -> Column:
-    """Number of bits of the count of each bucket of token hashes over all lines, in the upper 8 bits of a literal array's
-    items: its size is fixed, whatever the corpus."""
+    """Number of bits of the count of each bucket of token hashes over all lines, as a literal array of bytes: its size is fixed,
+    whatever the corpus. Bytes, as the driver keeps the array in every plan that has it."""
     words = F.split(_spaced(F.col("text"), "\n"), " ")
     tokens = doc_text(docs).select(F.explode(words).alias("token"))
     counts = tokens.groupBy(F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).count()
     levels = [0] * BUCKETS
     for r in counts.collect():
-        levels[r["k"]] = int(r["count"]).bit_length() << 56
-    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<bigint>")
+        levels[r["k"]] = int(r["count"]).bit_length()
+    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<tinyint>")
 
 
 def _ordered(line: Column, levels: Column) -> Column:
     """A line's distinct tokens, the rarest first: level in the upper 8 bits, hash below."""
-    key = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
