@@ -393,3 +393,10 @@ def test_csv_files_equal_python_s_reader(spark, tmp_path):
         want = [(n, plain(r)) for n, r in enumerate(rows, 2)]
         assert [(n, plain(row)) for n, row, _ in sorted(got.get(name, []), key=lambda x: x[0])] == want, name
         assert all(raw.count("=") >= min(6, len(row)) for _, row, raw in got.get(name, []))
+
+
+def test_alignment_of_an_empty_side(spark):
+    some = spark.createDataFrame([("alpha", "1"), ("", "2")], "headword_key string, entry_id string")
+    for algorithm in ("greedy", "mutual_best"):
+        got = compare.align(some, some.limit(0), algorithm, 80).collect()
+        assert sorted((r.headword_key, r.key_b, r.method) for r in got) == [("", None, "none"), ("alpha", None, "none")]
