@@ -39,8 +39,12 @@ def squeeze(c: Column) -> Column:
 
 
 def split_lines(c: Column) -> Column:
-    """Lines of a text; the empty piece after a last line end is no line."""
-    parts = F.split(c, LINE_END, -1)
+    """Lines of a text."""
+    return whole_lines(F.split(c, LINE_END, -1))
+
+
+def whole_lines(parts: Column) -> Column:
+    """The pieces of a text between line ends; the empty piece after a last line end is no line."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

@@ -63,6 +63,14 @@ def wordlist(records: DataFrame, text: str = "raw", strip_trailing: bool = True,
     return rows.select(*own, "draft_no", "d.*")
 
 
+def headwords(records: DataFrame, text: str = "raw", strip_trailing: bool = True) -> DataFrame:
+    """The headwords of ``wordlist`` alone: ``headword`` beside the record's columns, without the text. A token is one if it has
+    a letter or a number, as something is left of it then."""
+    own = [c for c in _own(records) if c != text]
+    tokens = records.select(*own, F.explode(F.split(text, f"[{T.WS}]+")).alias("_token"))
+    return tokens.where(F.rlike("_token", F.lit(r"[\p{L}\p{N}]"))).select(*own, _stripped(F.col("_token"), strip_trailing).alias("headword"))
+
+
 def _cut(records: DataFrame, text: str, separator: str, custom: str) -> DataFrame:
     """Records with ``_head`` and ``_rest``: the parts of the stripped line before and after the first separator, stripped, or
     null without one. Lines are columns first, so that each is stripped and searched once."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,14 +19,41 @@ def raw_lines(spark, sf_dir: str) -> DataFrame:
 
 def words(spark, sf_dir: str) -> DataFrame:
     """Headwords of the documents' lines by the word list template."""
-    return templates.wordlist(raw_lines(spark, sf_dir)).where("status = 'OK'")
+    return templates.headwords(raw_lines(spark, sf_dir))
+
+
+#: Digits of a document's number, of their count and of a line's number in a place.
+_ID, _COUNT, _LINE = 19, 2, 10
+
+
+def _place(doc_id: Column, line_no: Column) -> Column:
+    """A number in the order of ('doc/' || doc_id, line_no), a null id before all: aggregates keep numbers of a fixed size in a
+    hash table, where they would sort all rows for the least of texts. The first digit is 1 for null, 2 for ids below 0, 3
+    for others; then come the digits of the id from the left, how many they are, and the line."""
+    digits = F.ltrim(doc_id.cast("string"), F.lit("-"))
+    kind = F.when(doc_id.isNull(), "1").when(doc_id < 0, "2").otherwise("3")
+    parts = (F.rpad(digits, _ID, "0"), F.lpad(F.length(digits).cast("string"), _COUNT, "0"))
+    text = F.concat(kind, *(F.coalesce(c, F.lit("0" * n)) for c, n in zip(parts, (_ID, _COUNT))), F.lpad(line_no.cast("string"), _LINE, "0"))
+    return text.cast(f"decimal({1 + _ID + _COUNT + _LINE},0)")
+
+
+def _of_place(place: Column) -> tuple[Column, Column]:
+    """source_path and line_no of a place."""
+    text = place.cast("string")
+    kind, count = F.substring(text, 1, 1), F.substring(text, 2 + _ID, _COUNT).cast("int")
+    digits = F.substr(text, F.lit(2), count)
+    path = F.when(kind == "2", F.concat(F.lit("doc/-"), digits)).when(kind == "3", F.concat(F.lit("doc/"), digits))
+    return path, F.substring(text, 2 + _ID + _COUNT, _LINE).cast("int")
 
 
 def entries(spark, sf_dir: str) -> DataFrame:
     """One entry for each word's first place in a language: dict_id, source_path, line_no, headword_raw, entry_id."""
-    w = words(spark, sf_dir).select("dict_id", "source_path", "line_no", F.col("headword").alias("headword_raw"))
-    first = w.groupBy("dict_id", "headword_raw").agg(F.min(F.struct("source_path", "line_no")).alias("at"))
-    out = first.select("dict_id", "headword_raw", "at.source_path", "at.line_no")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("dict_id"))
+    lines = readers.lines_of(docs, "text", F.lit(None).cast("string"), "dict_id", "doc_id")
+    w = templates.headwords(lines.select("dict_id", "raw", _place(F.col("doc_id"), F.col("line_no")).alias("place")))
+    first = w.groupBy("dict_id", F.col("headword").alias("headword_raw")).agg(F.min("place").alias("place"))
+    path, line = _of_place(F.col("place"))
+    out = first.select("dict_id", "headword_raw", path.alias("source_path"), line.alias("line_no"))
     return out.withColumn("entry_id", parsing.entry_id(F.col("dict_id"), F.col("source_path"), F.col("line_no"), F.col("headword_raw"), F.lit("p")))
 
 

@@ -11,7 +11,8 @@ from ..functions import text as T
 
 def lines_of(df: DataFrame, text: str, path: Column, *keep: str) -> DataFrame:
     """Lines of a text column: source_path, line_no from 1, raw."""
-    lines = df.select(path.alias("source_path"), *keep, F.posexplode(T.split_lines(F.coalesce(text, F.lit("")))).alias("n", "raw"))
+    cut = df.select(path.alias("source_path"), *keep, F.split(F.coalesce(text, F.lit("")), T.LINE_END, -1).alias("_parts"))  # once
+    lines = cut.select("source_path", *keep, F.posexplode(T.whole_lines(F.col("_parts"))).alias("n", "raw"))
     return lines.select("source_path", *keep, (F.col("n") + 1).alias("line_no"), "raw")
 
 
