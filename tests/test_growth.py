@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from glossarium.operators import templates
+from glossarium.operators import compare, templates
 from glossarium.plans import testbed as tb
 
 
@@ -35,3 +35,15 @@ def test_headwords_are_those_of_the_word_list(spark):
     lines = spark.createDataFrame([(k, t) for k, t in enumerate(["", " ", None, "a  b, c.", "... ?!", "\tx/ |y| ;z", "é٣ ʹ 1.", ".a."])], "k int, raw string")
     want = templates.wordlist(lines).where("status = 'OK'").select("k", "headword")
     assert sorted(map(tuple, templates.headwords(lines).select("k", "headword").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_matches_of_a_frequent_form_in_blocks_and_as_links(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK", 3)
+    forms = ["anvil"] * 20 + ["bolt", " bolt ", "anvils", "ring", " ", None]
+    a = spark.createDataFrame([(f"a{k}", f) for k, f in enumerate(forms)], "entry_id string, form_norm string")
+    b = spark.createDataFrame([(f"b{k}", 100 - k, f) for k, f in enumerate(["anvil"] * 7 + ["bolt", "xyz", None])], "entry_id string, line_no int, form_norm string")
+    pairs = compare.match_entries(a, b, 80.0).collect()
+    want = {(f"a{k}", f"b{n}") for k in range(20) for n in range(7)} | {("a20", "b7"), ("a21", "b7"), ("a22", "b6")}
+    assert len(pairs) == len(want) and {(r.entry_id_a, r.entry_id_b) for r in pairs} == want
+    links = {r.entry_id_a: (r.entry_id_b, r.n_links, r.status) for r in compare.match_links(a, b, 80.0).collect()}
+    assert links == {f"a{k}": ("b6", 7, "exact") for k in range(20)} | {"a20": ("b7", 1, "exact"), "a21": ("b7", 1, "exact"), "a22": ("b6", 1, "fuzzy")}
