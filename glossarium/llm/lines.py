@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +126,15 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 #: Of tokens one in LEADERS looks for its first row's likes before all tokens do; short prefixes have all tokens looking.
 LEADERS, SHORT = 2, 8
+#: Parts of the tokens that join one after the other, so that the shuffles of one part at a time lie on disk.
+PARTS = 3
+
+
+def _all_candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """``_candidates`` of all tokens, a part of them at a time. A pair is found where the first token it shares is, so parts
+    lose none."""
+    found = [stored(_candidates(rows.where(F.pmod("token", F.lit(PARTS)) == k), threshold), "line_candidates") for k in range(PARTS)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str, ...] = ()) -> DataFrame:
@@ -148,8 +158,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str,
     first = _matched(_led(some.where(F.col("few") | (F.col("token") % LEADERS == 0)).drop("few", "pos"), threshold), docs, threshold)
     known = first.select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
     marked = classes.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left")
-    rows = marked.select("doc_id", "line_no", "n", "s0", "s1", F.col("_l").isNull().alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    second = _matched(_candidates(rows, threshold), docs, threshold)
+    marked = stored(marked.select("doc_id", "line_no", "n", "s0", "s1", F.col("_l").isNull().alias("open"), "prefix"), "line_marked")
+    rows = marked.select("doc_id", "line_no", "n", "s0", "s1", "open", F.posexplode("prefix").alias("pos", "token"))
+    second = _matched(_all_candidates(rows, threshold), docs, threshold)
     gone = first.unionByName(second).select(F.col("b.doc_id").alias("_d"), F.col("b.line_no").alias("_l"))
     kept = classes.select("doc_id", "line_no").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
     per_doc = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("kept"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from glossarium.llm import lines
 from glossarium.operators import compare, templates
 from glossarium.plans import testbed as tb
 
@@ -47,3 +48,22 @@ def test_matches_of_a_frequent_form_in_blocks_and_as_links(spark, monkeypatch):
     assert len(pairs) == len(want) and {(r.entry_id_a, r.entry_id_b) for r in pairs} == want
     links = {r.entry_id_a: (r.entry_id_b, r.n_links, r.status) for r in compare.match_links(a, b, 80.0).collect()}
     assert links == {f"a{k}": ("b6", 7, "exact") for k in range(20)} | {"a20": ("b7", 1, "exact"), "a21": ("b7", 1, "exact"), "a22": ("b6", 1, "fuzzy")}
+
+
+def test_line_candidates_in_parts_are_all_candidates(spark, monkeypatch):
+    names, write = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: names.append(name) or write(df, name))
+    words = [f"w{k}" for k in range(40)]
+    texts = ["\n".join(" ".join(words[(3 * d + 7 * n + j * (1 + n % 3)) % 40] for j in range(10 + d % 3)) for n in range(6)) for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, kept = [], {}
+    for d, text in enumerate(texts):
+        kept[d] = []
+        for line in text.split("\n"):
+            t = set(line.split())
+            if not any(len(t & u) / len(t | u) >= 0.8 for u in seen):
+                kept[d].append(line)
+            seen.append(t)
+    assert 0 < sum(map(len, kept.values())) < 180
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {d: "\n".join(v) for d, v in kept.items()}
+    assert names.count("line_candidates") == lines.PARTS > 1
