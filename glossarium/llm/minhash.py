@@ -21,6 +21,9 @@ BANDS, ROWS = 20, 4
 #: Rows (or 512 shingles each of them) of a block when what a bucket has left is compared, and rows of all cells that
 #: one call handles, about.
 BLOCK, CALL = 512, 4096
+#: Bytes of text that are signed or cut into elements at a time, and pairs of a cell whose bands are compared at a time: a
+#: worker's memory follows them, some 60 bytes for each byte and 650 for each pair.
+SLICE, PAIRS = 1 << 18, 1 << 14
 #: Agreement of two signatures from which a pair is verified: 0.8 less 5 standard deviations.
 AGREEMENT = 0.58
 
@@ -174,7 +177,7 @@ def _elements(batch: pa.RecordBatch, weighted: bool) -> tuple[np.ndarray, np.nda
 
 def _sign(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             doc, s, count = _elements(batch, weighted)
             n = batch.num_rows
             size = np.bincount(doc, count, n).astype(np.int64)
@@ -194,7 +197,7 @@ def _sign(weighted: bool):
 
 def _sets(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             doc, s = numbered(*_elements(batch, weighted))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -251,8 +254,11 @@ def _in_cells(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j = np.nonzero(apart & (same >= AGREEMENT * BANDS * ROWS))
         if x == y:
             i, j = i[i < j], j[i < j]
-        equal = (sx[i] == sy[j]).reshape(-1, BANDS, ROWS).all(2)
-        once = equal.argmax(1) == band[lo]
+        once = np.zeros(len(i), bool)
+        for at in range(0, len(i), PAIRS):
+            cut = slice(at, at + PAIRS)
+            equal = (sx[i[cut]] == sy[j[cut]]).reshape(-1, BANDS, ROWS).all(2)
+            once[cut] = equal.argmax(1) == band[lo]
         if once.any():
             yield x[0] + i[once], y[0] + j[once]
 

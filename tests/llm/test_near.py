@@ -120,6 +120,32 @@ def test_near_duplicates_of_a_bucket_beyond_a_block(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def test_memory_of_a_cell_whose_rows_all_agree():
+    """Bands are compared for so many pairs at a time, not for all pairs of a cell; signing takes slices of text."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    n = 2 * minhash.BLOCK
+    rng = np.random.default_rng(5)
+    sig = np.tile(rng.integers(1, 2**32, minhash.BANDS * minhash.ROWS, dtype=np.uint32), (n, 1))
+    sig[:, 1 :: minhash.ROWS] = np.arange(n, dtype=np.uint32)[:, None]  # no band is shared
+    sig[:, 4:8] = 7  # but the second is
+    pdf = pd.DataFrame({"cell": 1, "side": np.arange(n) // minhash.BLOCK, "doc_id": np.arange(n), "component": np.arange(n), "band": 1, "sig": [r.tobytes() for r in sig]})
+    texts = [" ".join(f"w{i}x{k}" for k in range(1500)) for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    busy = minhash._busy(pdf)
+    cells = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    signed = sum(b.num_rows for b in minhash._sign(True)(iter([batch])))
+    signing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(busy.doc_id) == list(range(n)) and signed == len(texts)
+    assert cells < 60e6 and signing < 60e6
+
+
 def test_near_duplicates_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(100))
     near = base.replace("w50", "x50")
