@@ -17,16 +17,17 @@ BUCKETS = 1 << 17
 
 
 def _spaced(text: Column, more: str = "") -> Column:
-    """The lower-cased text with a space for every tab, VT, FF, CR and each of ``more``."""
-    out = F.lower(text)
-    for c in "\t\x0b\f\r" + more:
-        out = F.replace(out, F.lit(c), F.lit(" "))
-    return out
+    """The lower-cased text with a space for every tab, VT, FF, CR and each of ``more``. Few texts hold one of the former, and
+    looking for them costs less than replacing them."""
+    odd = "\t\x0b\f\r"
+    spaces = lambda out, chars: reduce(lambda o, c: F.replace(o, F.lit(c), F.lit(" ")), chars, out)
+    plain = F.lower(text)
+    return spaces(F.when(reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in odd]), spaces(plain, odd)).otherwise(plain), more)
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of a line's tokens: lower-cased runs without white space."""
-    hashes = F.transform(F.split(_spaced(line), " "), lambda t: F.xxhash64(t))
+def _hashes(spaced: Column) -> Column:
+    """Hashes of the tokens of a line of ``_spaced`` text: lower-cased runs without white space."""
+    hashes = F.transform(F.split(spaced, " "), lambda t: F.xxhash64(t))
     return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
@@ -48,19 +49,22 @@ def rarity_levels(docs: DataFrame) -> Column:
 
 def _ordered(line: Column, levels: Column) -> Column:
     """A line's distinct tokens, the rarest first: level in the upper 8 bits, hash below."""
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    # never null, as arrays that can hold nulls are sorted by a comparator
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))
     key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(F.array_distinct(_hashes(line)), key))
 
 
-def _parity(t: Column, half: int) -> Column:
-    """One of two words of bits, each the parity of the number of tokens that fall on it."""
-    bit = lambda h: F.call_function("shiftleft", F.shiftrightunsigned(h, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1)), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+def _parity(t: Column, half: bool) -> Column:
+    """A word of bits, each the parity of the number of tokens that fall on it: of all tokens, or of those of one half. With
+    the word of the other half, which the two give, every token turns one bit of 128."""
+    one = (lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1))) if half else (lambda h: F.lit(1).cast("long"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    return doc_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """The lines of the ``_spaced`` text, which is made once for all lines of a text."""
+    return doc_text(docs).select("doc_id", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,8 +74,8 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float = THRESHOLD)
     lines = lines.select("doc_id", "line_no", _ordered(F.col("line"), levels).alias("t"))
     lines = lines.select("doc_id", "line_no", F.size("t").alias("n"), "t")
     prefix = F.slice("t", F.lit(1), F.col("n") - _needed(F.col("n"), threshold) + 1)
-    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("s0"), _parity(F.col("t"), 1).alias("s1"))
-    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
+    keyed = lines.select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "n", F.struct("doc_id", "line_no").alias("at"), prefix.alias("prefix"), _parity(F.col("t"), False).alias("s0"), _parity(F.col("t"), True).alias("s1"))
+    first = keyed.groupBy("k1", "k2", "n").agg(F.min("at").alias("at"), F.first("s0").bitwiseXOR(F.first("s1")).alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
     return first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "s0", "s1", "prefix")
 
 
@@ -95,10 +99,12 @@ def _place(side: str) -> Column:
 
 
 def _led(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of rows b and the first row a of their token, if alike: any shared token will do, as no pair need be found here."""
+    """(a, b) of rows b and the first row a of their token, if alike and the token has more than CROWD rows: no pair need be
+    found here, and tokens of few rows give few pairs in any case."""
     columns = ("doc_id", "line_no", "n", "s0", "s1")
-    lead = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*columns)).alias("l"))
-    lead = lead.where("size > 1").select("token", "l.*").alias("a")
+    crowds = rows.groupBy("token").count().where(F.col("count") > CROWD).select("token")
+    rows = stored(rows.join(crowds, "token", "left_semi"), "line_crowds")
+    lead = rows.groupBy("token").agg(F.min(F.struct(*columns)).alias("l")).select("token", "l.*").alias("a")
     both = lead.join(rows.alias("b"), F.col("a.token") == F.col("b.token"))
     return both.where((_place("a.") < _place("b.")) & _alike("a.", "b.", threshold)).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
@@ -115,10 +121,10 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     places = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
     per_doc = stored(places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("wanted")), "wanted")
     per_doc = per_doc.withColumnRenamed("doc_id", "_doc")
-    lines = doc_text(docs).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "wanted", F.split("text", "\n").alias("parts"))
+    lines = doc_text(docs).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "wanted", F.split(_spaced(F.col("text")), "\n").alias("parts"))
     found = F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get("parts", i).alias("line")))
     lines = lines.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.line_no", "l.line")
-    sets = lines.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(_hashes(F.col("line"))).alias("t"))
+    sets = stored(lines.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(_hashes(F.col("line"))).alias("t")), "line_sets")
     both = pairs.join(sets.select(F.col("at").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("at").alias("b"), F.col("t").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return stored(both.where(common >= (F.size("ta") + F.size("tb") - common) * threshold - 1e-9).select("b").distinct(), "matched")
@@ -126,6 +132,8 @@ def _matched(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 #: Of tokens one in LEADERS looks for its first row's likes before all tokens do; short prefixes have all tokens looking.
 LEADERS, SHORT = 2, 8
+#: Rows of a token from which on they meet its first row before they meet each other.
+CROWD = 256
 #: Parts of the tokens that join one after the other, so that the shuffles of one part at a time lie on disk.
 PARTS = 3
 
@@ -144,9 +152,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str,
     goes if any line before it, by (doc_id, line number), has a set with a Jaccard similarity of ``threshold`` or
     more; lines of white space stay. The join is exact: lines of equal sets are one class, a class lists the prefix
     of its tokens in order of rarity, classes that share a prefix token and pass the length and positional filters,
-    and a bound by bits of parity that loses no pair, are verified. For some tokens every class first meets the token's
-    first class only; classes matched so need no further candidates, so a great group of alike lines does not give all
-    its pairs. Then all tokens join.
+    and a bound by bits of parity that loses no pair, are verified. For some tokens of many classes every class first meets
+    the token's first class only; classes matched so need no further candidates, so a great group of alike lines does not
+    give all its pairs. Then all tokens join.
 
     Null and empty texts have one empty line and keep it; of rows with the same doc_id the lines count as the same
     places, in each of them; rows without doc_id come before all others, as one; an empty table gives none; further
@@ -166,7 +174,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, more: tuple[str,
     per_doc = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
     out = doc_text(docs, *more).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", *more, F.split("text", "\n").alias("parts"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     blank = lambda s: ~F.rlike(s, F.lit(r"\S"))
-    left = F.filter("parts", lambda s, i: blank(s) | F.array_contains("kept", i))
+    left = F.filter("parts", lambda s, i: F.array_contains("kept", i) | blank(s))
     return out.select("doc_id", *more, F.size("parts").alias("n_lines"), left.alias("left")).select(
         "doc_id", *more, "n_lines", (F.col("n_lines") - F.size("left")).alias("n_removed"), F.array_join("left", "\n").alias("text")
     )

@@ -67,3 +67,19 @@ def test_line_candidates_in_parts_are_all_candidates(spark, monkeypatch):
     assert 0 < sum(map(len, kept.values())) < 180
     assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {d: "\n".join(v) for d, v in kept.items()}
     assert names.count("line_candidates") == lines.PARTS > 1
+
+
+def test_line_crowds_meet_their_first_line_and_few_lines_each_other(spark, monkeypatch):
+    rows = [(i, f"alpha beta gamma delta epsilon zeta eta theta iota word{i}") for i in range(12)] + [(90, "rare one two three"), (91, "rare one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for crowd in (2, 1000):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        names = []
+        keep = lines.stored
+        monkeypatch.setattr(lines, "stored", lambda df, name="part": names.append((name, df.count())) or keep(df, name))
+        got[crowd] = sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(docs).collect())
+        monkeypatch.setattr(lines, "stored", keep)
+        crowds = dict(names)["line_crowds"]
+        assert crowds > 0 if crowd == 2 else crowds == 0
+    assert got[2] == got[1000] == [(0, 0), *((i, 1) for i in range(1, 12)), (90, 0), (91, 1)]
