@@ -50,6 +50,21 @@ def test_matches_of_a_frequent_form_in_blocks_and_as_links(spark, monkeypatch):
     assert links == {f"a{k}": ("b6", 7, "exact") for k in range(20)} | {"a20": ("b7", 1, "exact"), "a21": ("b7", 1, "exact"), "a22": ("b6", 1, "fuzzy")}
 
 
+def test_copies_of_a_frequent_form_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK", 3)
+    monkeypatch.setattr(compare, "TASK", 100, raising=False)
+    ids = spark.range(40).select(F.col("id").cast("string").alias("entry_id"), F.col("id").alias("line_no"), F.concat(F.lit("form"), F.col("id") % 2).alias("form_norm"))
+    out = compare.match_entries(ids, ids, 80.0)
+    assert sorted((r.entry_id_a, r.entry_id_b) for r in out.collect()) == sorted((str(a), str(b)) for a in range(40) for b in range(a % 2, 40, 2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    # what grows with the entries of a form, or with all entries, does not go to the driver: neither the copies nor the entries
+    assert any("SortMergeJoin [headword_key" in j and "block" in j for j in joins)
+    assert not [j for j in joins if "BroadcastHashJoin" in j and "block" in j.split("Inner")[0]]
+    # 800 pairs, 100 a task
+    assert "REPARTITION_BY_NUM" in plan and "8), REPARTITION_BY_NUM" in plan
+
+
 def test_line_candidates_in_parts_are_all_candidates(spark, monkeypatch):
     names, write = [], lines.stored
     monkeypatch.setattr(lines, "stored", lambda df, name: names.append(name) or write(df, name))
