@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import crc_fold, doc_text, ship, slices, stored, table
 from .pieces import MARK, encoder, public_model
 
-#: Bytes of text in a block; a block's distinct words and their counts travel together.
-BLOCK = 4 << 20
+#: Bytes of text in a block, whose distinct words and their counts travel together, and of text whose ids a worker holds at once.
+BLOCK, CHUNK = 4 << 20, 1 << 20
 #: Subtracted from the count of each known word that is not frequent.
 DISCOUNT = 0.7
 #: Classes of ids that begin a word, and of the others; width of the embedding and of the hidden layer.
@@ -274,40 +274,65 @@ def gather(cls: np.ndarray, ends: np.ndarray, first: np.ndarray, begin: np.ndarr
     return inputs, live, cls[inside], scored, at
 
 
+def _runs(texts: list[bytes], limit: int) -> Iterator[slice]:
+    """Runs of texts of about so many bytes; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > limit:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text)
+    if texts:
+        yield slice(start, len(texts))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: their ids, folds and lower-cased bytes."""
+    """Documents with the number of their block, their fold and lower-cased bytes."""
     import pyspark
 
     part, k = pyspark.TaskContext.get().partitionId(), 0
     for batch in slices(batches, limit=BLOCK):
         texts = [t.as_py().encode().lower() for t in batch.column("text")]
-        ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([batch.column("train").to_pylist()], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.binary()))],
-            names=["block", "doc_ids", "train", "texts"],
+            [pa.array([part << 32 | k] * len(texts), pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("train"), pa.array(texts, pa.binary())],
+            names=["block", "doc_id", "train", "text"],
         )
         k += 1
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bool], list[bytes]]]:
+    """Number, folds and texts of each block, of rows in order of blocks. Where a file is split inside a block, both parts are one."""
+    block, train, texts = -1, [], []
+    for batch in slices(batches, limit=CHUNK):
+        for b, ok, text in zip(*(batch.column(c).to_pylist() for c in ("block", "train", "text"))):
+            if b != block and texts:
+                yield block, train, texts
+                train, texts = [], []
+            block = b
+            train.append(ok)
+            texts.append(text)
+    if texts:
+        yield block, train, texts
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each distinct word of a block and how often its training texts hold it."""
     from collections import Counter
 
-    for batch in batches:
-        for block, train, texts in zip(*(batch.column(c) for c in ("block", "train", "texts"))):
-            counts: Counter[bytes] = Counter()
-            other: set[bytes] = {END}
-            for ok, text in zip(train.as_py(), texts.as_py()):
-                if ok:
-                    counts.update(text.split())
-                    counts[END] += 1
-                else:
-                    other.update(text.split())
-            words = [*counts, *(other - counts.keys())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.as_py()] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array([counts.get(w, 0) for w in words], pa.int64())],
-                names=["block", "word", "n"],
-            )
+    for block, train, texts in _blocks(batches):
+        counts: Counter[bytes] = Counter()
+        other: set[bytes] = {END}
+        for ok, text in zip(train, texts):
+            if ok:
+                counts.update(text.split())
+                counts[END] += 1
+            else:
+                other.update(text.split())
+        words = [*counts, *(other - counts.keys())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block] * len(words), pa.int64()), pa.array(words, pa.binary()), pa.array([counts.get(w, 0) for w in words], pa.int64())],
+            names=["block", "word", "n"],
+        )
 
 
 def _piece_counts(model_path: str):
@@ -342,10 +367,14 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 def _coded(layout: Layout, model_path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all ids of texts one after another, and how many ids each text has."""
-    words, n = _words(texts)
-    coded = words.dictionary_encode()
-    ids, owner = Spelling(coded.dictionary, model_path, layout.eos).text(np.asarray(coded.indices))
-    return layout.cls[ids], np.bincount(np.repeat(np.arange(len(n)), n)[owner], minlength=len(n))
+    classes, lengths = [], []
+    for run in _runs(texts, CHUNK):
+        words, n = _words(texts[run])
+        coded = words.dictionary_encode()
+        ids, owner = Spelling(coded.dictionary, model_path, layout.eos).text(np.asarray(coded.indices))
+        classes.append(layout.cls[ids])
+        lengths.append(np.bincount(np.repeat(np.arange(len(n)), n)[owner], minlength=len(n)))
+    return np.concatenate(classes), np.concatenate(lengths)
 
 
 def _steps(cls: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, round_: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -362,12 +391,11 @@ def _train(layout: Layout, model_path: str, flat: np.ndarray | None, round_: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Attention(layout.prior, flat)
         adam, rng = Adam(net), np.random.default_rng(round_)
-        for batch in batches:
-            for train, texts in zip(batch.column("train"), batch.column("texts")):
-                texts = [t for ok, t in zip(train.as_py(), texts.as_py()) if ok]
-                if texts:
-                    for step in _steps(*_coded(layout, model_path, texts), rng, round_):
-                        adam.step(net.gradients(*step), RATE / (1 + round_) / (1 + adam.t / 400) ** 0.5)
+        for _, train, texts in _blocks(batches):
+            texts = [t for ok, t in zip(train, texts) if ok]
+            if texts:
+                for step in _steps(*_coded(layout, model_path, texts), rng, round_):
+                    adam.step(net.gradients(*step), RATE / (1 + round_) / (1 + adam.t / 400) ** 0.5)
         if adam.t:
             net.p = adam.mean
             p = net.flat().astype(np.float64) * adam.t
@@ -379,24 +407,25 @@ def _train(layout: Layout, model_path: str, flat: np.ndarray | None, round_: int
 
 
 def _score(layout: Layout, model_path: str, flat: np.ndarray | None, total: int, distinct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        """A block's documents and its words with their counts, a run of texts at a time."""
         net = Scorer(Attention(layout.prior, flat), layout.whole)
-        for batch in batches:
-            for ids_, train, texts, known in zip(*(batch.column(c) for c in ("doc_ids", "train", "texts", "known"))):
-                words = known.values.field("word")
-                count = np.asarray(known.values.field("c")).astype(np.float64)
-                yield _score_block(net, layout, model_path, total, distinct, ids_.as_py(), train.as_py(), texts.as_py(), words, count)
+        words = known.column("word").combine_chunks()
+        count = known.column("c").to_numpy().astype(np.float64)
+        spelling = Spelling(words, model_path, layout.eos)
+        ids, train, texts = (docs.column(c).to_pylist() for c in ("doc_id", "train", "text"))
+        return pa.Table.from_batches([_score_run(net, layout, spelling, total, distinct, ids[r], train[r], texts[r], words, count) for r in _runs(texts, CHUNK)])
 
     return run
 
 
-def _score_block(net, layout, model_path, total, distinct, doc_ids, train, texts, words, count) -> pa.RecordBatch:
+def _score_run(net, layout, spelling, total, distinct, doc_ids, train, texts, words, count) -> pa.RecordBatch:
     flat, n = _words(texts)
     numbers = np.asarray(pc.index_in(flat, value_set=words))
     doc = np.repeat(np.arange(len(texts)), n)
     c = count[numbers]
     base = np.log10((c + 1) / (total + distinct + 1))
-    ids, owner = Spelling(words, model_path, layout.eos).text(numbers)
+    ids, owner = spelling.text(numbers)
     cls = layout.cls[ids]
     per_text = np.bincount(doc[owner], minlength=len(texts))
     ends = np.cumsum(per_text)
@@ -442,9 +471,10 @@ def _score_block(net, layout, model_path, total, distinct, doc_ids, train, texts
 def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
-    Documents for which the condition ``held_out`` is true are not learned from (default: none). Documents are packed
-    into blocks of BLOCK bytes, written once; a block's distinct words are summed before the shuffle and meet their
-    corpus-wide counts in a join that adaptive execution can split, as a frequent word has a row for each block. Training is data-parallel:
+    Documents for which the condition ``held_out`` is true are not learned from (default: none). Documents are dealt
+    into blocks of BLOCK bytes and written once, a row each; a block's distinct words are summed before the shuffle and meet their
+    corpus-wide counts in a join that adaptive execution can split, as a frequent word has a row for each block. Blocks meet
+    their words in sorted groups, one at a time, so no row, list or task holds more than a block. Training is data-parallel:
     every task steps through its training texts, block by block, a share of their windows in each round, so that over all
     rounds each id is a target once; the parameters are averaged over a task's steps, and over tasks between rounds. To the driver go the counts of the ids (as many as the tokenizer has) and the parameters.
 
@@ -454,9 +484,9 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     train = ~F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(True)
-    packed = doc_text(docs, train.alias("train")).mapInArrow(_pack, "block long, doc_ids array<long>, train array<boolean>, texts array<binary>")
+    packed = doc_text(docs, train.alias("train")).mapInArrow(_pack, "block long, doc_id long, train boolean, text binary")
     blocks = stored(packed, "blocks")
-    words = blocks.mapInArrow(_block_words, "block long, word binary, n long")
+    words = blocks.select("block", "train", "text").mapInArrow(_block_words, "block long, word binary, n long")
     words = stored(words, "words")
     counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     one = counts.where("c > 0")
@@ -472,11 +502,11 @@ def score_documents(docs: DataFrame, model_path: str, held_out=None) -> DataFram
     layout = Layout(count, ends, lone, initial, e.eos)
     flat = None
     for k in range(ROUNDS if total else 0):
-        tuned = blocks.select("train", "texts").mapInArrow(_train(layout, model_path, flat, k), "i long, v double, w double")
+        tuned = blocks.select("block", "train", "text").mapInArrow(_train(layout, model_path, flat, k), "i long, v double, w double")
         got = sorted(tuned.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect())
         flat = np.array([r["v"] for r in got]) if got else flat
-    known = words.select("block", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("word", "c")).alias("known"))
-    return blocks.join(known, "block").select("doc_ids", "train", "texts", "known").mapInArrow(
+    known = words.select("block", "word").join(counts, "word").select("block", "word", "c")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _score(layout, model_path, flat, total, distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -1,15 +1,17 @@
 import io
 import random
+import tracemalloc
 import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glossarium.llm import language_model, media, mixing, toxicity, urls
 from glossarium.llm.common import crc_fold, table
-from glossarium.llm.pieces import public_model
+from glossarium.llm.pieces import MARK, encoder, public_model
 
 
 # ---- language model
@@ -122,6 +124,49 @@ def test_training_covers_every_id_once_over_the_rounds():
     assert max(len(t) for _, _, t, _ in steps) <= language_model.STEP
 
 
+def test_no_row_or_list_holds_a_block(spark, monkeypatch):
+    made, write = {}, language_model.stored
+    monkeypatch.setattr(language_model, "stored", lambda df, name: made.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame([(i, f"word{i % 7} of {i}") for i in range(50)], "doc_id long, text string")
+    out = language_model.score_documents(docs, public_model())
+    assert out.count() == 50 and made["blocks"].count() == 50
+    assert not [kind for df in made.values() for _, kind in df.dtypes if kind.startswith("array")]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_go_on_over_batches():
+    rows = [(0, True, b"a b"), (0, False, b""), (1, True, b"c"), (1, True, b"d" * 10), (1, False, b"e"), (7, True, b"")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("block", "train", "text"), r)) for r in rows[a:b]], pa.schema([("block", pa.int64()), ("train", pa.bool_()), ("text", pa.binary())])) for a, b in ((0, 1), (1, 3), (3, 3), (3, 6))]
+    assert list(language_model._blocks(iter(batches))) == [(0, [True, False], [b"a b", b""]), (1, [True, True, False], [b"c", b"d" * 10, b"e"]), (7, [True], [b""])]
+    assert list(language_model._blocks(iter([]))) == []
+
+
+def test_a_block_is_coded_and_scored_in_runs_with_the_same_results(monkeypatch):
+    e, rng = encoder(public_model()), random.Random(3)
+    n = len(e.lengths)
+    initial = np.array([e.library.id_to_piece(i).startswith(MARK) for i in range(n)])
+    initial[e.eos] = True
+    layout = language_model.Layout(np.arange(n) % 50 + 1.0, np.arange(n) % 2 + 0.5, np.zeros(n), initial, e.eos)
+    vocabulary = ["".join(rng.choice("aeioubcdt") for _ in range(rng.randrange(2, 9))).encode() for _ in range(3000)]
+    texts = [b" ".join(rng.choices(vocabulary, k=rng.choice([0, 5, 300, 2000]))) for _ in range(150)]
+    docs = pa.table({"doc_id": range(150), "train": [True] * 150, "text": texts})
+    known = pa.table({"word": pa.array([*vocabulary, b""], pa.binary()), "c": [i % 5 for i in range(3001)]})
+    got, peak = [], []
+    for size in (1 << 30, 1 << 16):
+        monkeypatch.setattr(language_model, "CHUNK", size)
+        score = language_model._score(layout, public_model(), None, 10_000, 2_000)
+        score(docs, known)
+        tracemalloc.start()
+        got.append((score(docs, known), language_model._coded(layout, public_model(), texts)))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    (whole, codes), (runs, same) = got
+    assert runs.column("score").to_pylist() == pytest.approx(whole.column("score").to_pylist(), rel=1e-7)  # products of single floats
+    assert runs.drop_columns("score").equals(whole.drop_columns("score"))
+    assert all((a == b).all() for a, b in zip(codes, same))
+    assert peak[1] < peak[0] / 3
+
+
 # ---- toxicity
 
 
